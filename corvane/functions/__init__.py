@@ -1,0 +1 @@
+"""Column functions: tokenizers, segments, templates, vectors."""

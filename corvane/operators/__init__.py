@@ -1,0 +1 @@
+"""Operators over DataFrames: scoring, search, fusion, graphs, topics, workflows."""

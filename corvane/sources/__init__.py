@@ -1,0 +1 @@
+"""Tables: content, scratch space, tabular input, exports."""
