@@ -13,10 +13,12 @@ the same value to the same surrogate, in all documents, without any state. Case
 is put back from the original, so spellings in other case stay the same entity.
 
 Given names and surnames in the lists are moved within their list (by gender
-and script) by a keyed step, which is a permutation too. Other names are hashed
-into the list; in a document a taken surrogate is passed over. Later bare
-mentions of a replaced name follow. In any document a surrogate that equals one
-of its own originals is drawn again.
+and script) by a keyed step, which is a permutation too. Other names are spelled
+anew: four syllables of the script and an ending of the gender, drawn by a keyed
+hash from 10^8 and more, so that even in a large corpus two names hardly ever
+meet; in a document a taken surrogate is passed over. Later bare mentions of a
+replaced name follow. In any document a surrogate that equals one of its own
+originals is drawn again; where a list runs out, names are spelled.
 
 Defined results: a null text stays null with no entities; empty texts and texts
 without entities are returned unchanged. Null ids and repeated rows give a row
@@ -54,6 +56,11 @@ _FAMILY = {
     "latin": "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Hill Green Adams Baker Nelson Carter Mitchell Turner Phillips Campbell Parker Evans Edwards Collins Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Dubois Moreau Laurent Bernard Girard Lefevre García Martínez López González Pérez Sánchez Ramírez Torres".split(),
     "cyrillic": "Иванов Петров Смирнов Кузнецов Попов Соколов Лебедев Козлов Новиков Морозов Волков Зайцев".split(),
 }
+#: Consonants, vowels and endings (by kind of name) for names that no list has.
+_SPELLING = {
+    "latin": ("bcdfghklmnprstvz", "aeiou", {"family": "son man ler ton berg well ley ner".split(), "m": "o us an ek in or is en".split(), "f": "a ia ella ina ora etta ise anna".split(), "x": "y el en is".split()}),
+    "cyrillic": ("бвгдзклмнпрстфхж", "аеиоу", {"family": "лов рев нин ков сев дин".split(), "m": "й н р л с м".split(), "f": "на ла ра ся лия ния".split(), "x": "ка ша ля ня".split()}),
+}
 _TITLE = "|".join(sorted((re.escape(t) for ts in _TITLES.values() for t in ts.split()), key=len, reverse=True))
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'-]*"
 
@@ -68,7 +75,7 @@ _ENTITY = re.compile(
     |(?P<ip6>(?<![\w:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:]))
     |(?P<card>(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){{12,18}}(?![ -]?\d))
     |(?P<phone>(?<![\w+])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}|\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]\d{{3,4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\d))
-    |(?P<name>\b(?P<title>{_TITLE})\b\.?[ ](?P<given>{_NAME})(?:[ ](?P<family>{_NAME}))?)""",
+    |(?P<name>\b(?P<title>{_TITLE})\b\.?[ ](?P<given>(?!(?:{_TITLE})\b){_NAME})(?:[ ](?P<family>(?!(?:{_TITLE})\b){_NAME}))?)""",
     re.X,
 )
 
@@ -162,15 +169,27 @@ class Surrogates:
         check = 98 - _mod97(out[:2] + "00" + out[4:].replace(" ", ""))
         return f"{out[:2]}{check:02d}{out[4:]}"
 
-    def name(self, s: str, pool: list[str], kind: str, again: int) -> str:
-        """A name from ``pool`` in the case of ``s``."""
+    def name(self, s: str, part: str, gender: str, script: str, again: int) -> str:
+        """Another name of the kind, in the case of ``s``; ``part``: given or family."""
+        kind = "family" if part == "family" else gender
+        pool = _FAMILY[script] if part == "family" else _GIVEN[gender, script]
         low = [x.casefold() for x in pool]
-        if s.casefold() in low:
-            x = pool[(low.index(s.casefold()) + 1 + self.number(kind, "step") % (len(pool) - 1) + again) % len(pool)]
+        if s.casefold() in low and again < len(pool) - 1:
+            x = pool[(low.index(s.casefold()) + 1 + self.number(kind, script, "step") % (len(pool) - 1) + again) % len(pool)]
         else:
-            x = pool[(self.number(kind, s.casefold()) + again) % len(pool)]
+            x = self.spelled(self.number(kind, script, s.casefold(), again), kind, script)
         return x.upper() if len(s) > 1 and s.isupper() else x
 
+    @staticmethod
+    def spelled(n: int, kind: str, script: str) -> str:
+        consonants, vowels, endings = _SPELLING[script]
+        out = ""
+        for _ in range(4):
+            n, c = divmod(n, len(consonants))
+            n, v = divmod(n, len(vowels))
+            out += consonants[c] + vowels[v]
+        return (out + endings[kind][n % len(endings[kind])]).capitalize()
+
 
 def _valid(kind: str, s: str) -> bool:
     digits = "".join(c for c in s if c.isdigit())
@@ -227,7 +246,7 @@ class Document:
             return getattr(self.make, kind)(s, again)
         script = "cyrillic" if re.match("[А-Яа-яЁё]", s) else "latin"
         gender = self.gender.get((kind, s.casefold()), "x")
-        return self.make.name(s, _FAMILY[script] if kind == "family" else _GIVEN[gender, script], f"{kind}{gender if kind == 'given' else ''}{script}", again)
+        return self.make.name(s, kind, gender, script, again)
 
     def replaced(self) -> tuple[str, int]:
         originals = {s.casefold() for *_, s in self.found}

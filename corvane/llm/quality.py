@@ -96,7 +96,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, doc_id: str, text: str
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(features(batch.column(2)))), batch.column(0)], schema.names)
 
     got = map_text(rows, "text", schema, run).toPandas().sort_values(["doc_id", "label"], kind="stable")
-    return np.array(got.x.tolist(), float).reshape(len(got), -1), got.label.to_numpy()
+    return np.array(got.x.tolist(), float).reshape(len(got), len(FEATURES)), got.label.to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = 12_000) -> Forest:

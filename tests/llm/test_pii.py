@@ -1,0 +1,108 @@
+"""Surrogates: nothing of the original stays, kinds and formats do, one to one."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from corvane.llm import pii
+
+KEY = b"test"
+MAKE = pii.Surrogates(KEY)
+
+
+def replaced(text):
+    return pii.Document(text, MAKE).replaced()
+
+
+@pytest.mark.parametrize(("value", "shape"), [
+    ("ann.lee+x@mail.example.com", r"[a-z]{3}\.[a-z]{3}\+[a-z]@[a-z]{4}\.[a-z]{7}\.com"),
+    ("192.168.10.250", r"(\d{1,3}\.){3}\d{1,3}"),
+    ("4111 1111 1111 1111", r"4\d{3}( \d{4}){3}"),
+    ("DE89 3704 0044 0532 0130 00", r"DE\d\d( \d{4}){4} \d\d"),
+    ("123-45-6789", r"\d{3}-\d{2}-\d{4}"),
+    ("+1 (499) 555-6503", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+    ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", r"([0-9a-f]{4}:){7}[0-9a-f]{4}"),
+])
+def test_format_stays(value, shape):
+    text, n = replaced(f"Write to {value} now.")
+    assert n == 1 and value not in text
+    new = text.removeprefix("Write to ").removesuffix(" now.")
+    assert re.fullmatch(shape, new), new
+    assert replaced(f"Other text, {value}")[0].endswith(new)  # the same in every document
+
+
+def test_check_digits():
+    assert pii.luhn("".join(c for c in replaced("4111 1111 1111 1111")[0] if c.isdigit()))
+    assert pii._mod97(replaced("DE89370400440532013000")[0]) == 1
+    assert replaced("4111 1111 1111 1112")[1] == 0
+    assert replaced("999.1.1.1")[1] == 0
+
+
+def test_secrets():
+    text, n = replaced('token = "1eb9c654e721b4f812088970e66a6345cee33dd6"')
+    assert n == 1 and re.fullmatch(r'token = "[0-9a-f]{40}"', text) and "1eb9c654" not in text
+
+
+def test_names_keep_gender_script_and_follow():
+    text, _ = replaced("Mr John Smith met Mrs Mary Brown. Smith smiled; MARY left with Dr Xandqu.")
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) (\w+)\. (\w+) smiled; (\w+) left with Dr (\w+)\.", text)
+    john, smith, mary, brown, again, mary2, other = m.groups()
+    assert john in pii._GIVEN["m", "latin"] and john != "John"
+    assert mary in pii._GIVEN["f", "latin"] and mary != "Mary" and mary2 == mary.upper()
+    assert again == smith != "Smith" and len({john, smith, mary, brown, other}) == 5
+    text, _ = replaced("господин Иванов и госпожа Анна Щукина")
+    m = re.fullmatch(r"господин (\w+) и госпожа (\w+) (\w+)", text)
+    assert m[1] in pii._FAMILY["cyrillic"] and m[2] in pii._GIVEN["f", "cyrillic"] and re.fullmatch("[А-Яа-я]+", m[3])
+
+
+def test_distinct_values_stay_distinct():
+    rng = random.Random(1)
+    mails = {f"{rng.choice('abc')}{rng.randrange(100)}@x{rng.randrange(10)}.org" for _ in range(2000)}
+    assert len({MAKE.email(m, 0) for m in mails}) == len(mails)
+    names = {"".join(rng.choices("abcdefgh", k=6)).capitalize() for _ in range(5000)}
+    assert len({MAKE.name(n, "family", "x", "latin", 0) for n in names}) >= len(names) - 1
+    ips = [f"10.0.{i}.{j}" for i in range(20) for j in range(50)]
+    assert len({MAKE.ip(x, 0) for x in ips}) == len(ips)
+
+
+def test_permutation_is_one():
+    for n in (1, 2, 10, 97, 1000):
+        assert sorted(MAKE.permute(x, n, "t") for x in range(n)) == list(range(n))
+
+
+def test_surrogates_never_are_originals_of_the_text():
+    listed = pii._FAMILY["latin"]
+    text = " ".join(f"Dr {n}" for n in listed)
+    out = replaced(text)[0].split()[1::2]
+    assert len(set(out)) == len(listed) and not set(out) & set(listed)
+
+
+def test_other_keys_give_other_surrogates():
+    assert pii.Document("a.b@example.com", pii.Surrogates(b"other")).replaced()[0] != replaced("a.b@example.com")[0]
+
+
+def test_rows(docs_of):
+    rows = [(1, None), (2, ""), (3, "nothing here"), (None, "x@example.com"), (3, "mail x@example.com"), (3, "mail x@example.com"), (4, "a " * 200_000 + "x@example.com"), (5, "1" * 100_000), (6, "@" * 50_000), (7, "a." * 50_000 + "@")]
+    got = sorted((tuple(r) for r in pii.pseudonymise(docs_of(rows), KEY).collect()), key=lambda r: repr(r)[:80])
+    by = {}
+    for i, t, n in got:
+        by.setdefault(i, []).append((t, n))
+    assert by[1] == [(None, 0)] and by[2] == [("", 0)] and by[3][-1] == ("nothing here", 0)
+    mail = by[None][0][0]
+    assert mail != "x@example.com" and by[3][:2] == [(f"mail {mail}", 1)] * 2 and by[4][0][0].endswith(mail)
+    assert by[5] == [("1" * 100_000, 0)] and by[6][0][1] == 0 and by[7][0][1] == 0
+    assert pii.pseudonymise(docs_of([]), KEY).count() == 0
+
+
+def test_as_row_by_row_over_the_table(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    got = {r.doc_id: (r.text, r.entities) for r in pii.pseudonymise(docs, KEY).collect()}
+    want = {r.doc_id: (None, 0) if r.text is None else replaced(r.text) for r in docs.collect()}
+    assert got == want
+    before = {r.doc_id: r.text or "" for r in docs.collect()}
+    find = re.compile(r"[\w.%+-]+@[\w-]+\.[\w.]+|\b(?:\d{1,3}\.){3}\d{1,3}\b")
+    for i, (text, _) in got.items():
+        assert not set(find.findall(before[i])) & set(find.findall(text or ""))
