@@ -84,7 +84,7 @@ if __name__ == "__main__":
         try:
             t = f(spark, sf_dir).toArrow()
             took = time.time() - began
-            said = differences(t, con.execute(sql[name]).to_arrow_table()) if name in sql else ["no SQL"]
+            said = differences(t, con.sql(sql[name]).to_arrow_table()) if name in sql else ["no SQL"]
             print(f"{name}: {t.num_rows} rows, {took:.1f} s, {'; '.join(said) or 'same'}", flush=True)
         except Exception as e:  # noqa: BLE001
             print(f"{name}: {type(e).__name__} {str(e)[:600]}", flush=True)

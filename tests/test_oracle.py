@@ -22,4 +22,4 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, tiny, con, name):
     found = catalogue.queries()[name](spark, tiny).toArrow()
-    assert differences(found, con.execute(SQL[name]).to_arrow_table()) == []
+    assert differences(found, con.sql(SQL[name]).to_arrow_table()) == []
