@@ -84,21 +84,24 @@ class Graph:
         d = F.coalesce("degree", F.lit(0))
         return rows.select("indexid", d.cast("long").alias("degree"), F.when(F.col("total") > 1, d / (F.col("total") - 1)).otherwise(F.lit(1.0)).alias("centrality"))
 
-    def pagerank(self, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-        """(indexid, rank) after a number of rounds of weighted PageRank; lineage is cut every few rounds."""
+    def pagerank(self, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+        """(indexid, rank) after a number of rounds of weighted PageRank.
+
+        Each round is written out: the next one reads it twice, for what the
+        links carry and for the rank of nodes without links, which all share.
+        """
         links = self.both()
         out = links.groupBy("src").agg(F.sum("weight").alias("out"))
         links = stage(links.join(out, "src").where("out > 0").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "links")
-        total = self.nodes.count()
-        ranks = self.nodes.select("indexid", F.lit(1.0 / max(total, 1)).alias("rank"))
-        for i in range(rounds):
+        total = max(self.nodes.count(), 1)
+        linked = links.select(F.col("src").alias("indexid"), F.lit(True).alias("linked")).distinct()
+        ranks = stage(self.nodes.select("indexid").join(linked, "indexid", "left").select("indexid", F.col("linked").isNull().alias("loose"), F.lit(1.0 / total).alias("rank")), "ranks")
+        for _ in range(rounds):
             sent = ranks.join(links, ranks.indexid == links.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-            loose = ranks.join(links.select(F.col("src").alias("indexid")).distinct(), "indexid", "left_anti").agg((F.coalesce(F.sum("rank"), F.lit(0.0)) / F.lit(float(max(total, 1)))).alias("loose"))
-            rows = self.nodes.select("indexid").join(sent, F.col("indexid") == F.col("dst"), "left").crossJoin(F.broadcast(loose))
-            ranks = rows.select("indexid", (F.lit((1 - damping) / max(total, 1)) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("loose"))).alias("rank"))
-            if i % every == every - 1:
-                ranks = stage(ranks, "ranks")
-        return ranks
+            shared = ranks.agg((F.coalesce(F.sum(F.when(F.col("loose"), F.col("rank"))), F.lit(0.0)) / total).alias("shared"))
+            rows = ranks.select("indexid", "loose").join(sent, F.col("indexid") == F.col("dst"), "left").crossJoin(F.broadcast(shared))
+            ranks = stage(rows.select("indexid", "loose", (F.lit((1 - damping) / total) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("shared"))).alias("rank")), "ranks")
+        return ranks.select("indexid", "rank")
 
     def labels(self, rounds: int = 5) -> DataFrame:
         """(indexid, label) by synchronous label propagation: each node takes the label of most weight around it, then the least one."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where a session has none (one machine, tests), a folder of this process is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        made = tempfile.mkdtemp(prefix="corvane-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        path = "file://" + made
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
