@@ -1,8 +1,8 @@
 """Chat formatting from reply trees.
 
 Messages of a conversation form a tree: a message answers its parent. Iterative
-self-joins climb from every leaf to its root, one level at a time, and give all
-root-to-leaf paths. Each path (branch) has a score; the best ``branches`` of a
+self-joins climb from every leaf to its root, a stretch of up to 16 levels at a
+time, and give all root-to-leaf paths. Each path (branch) has a score; the best ``branches`` of a
 conversation are formatted, each as one conversation.
 
 Without a parent column, a message answers the first (by text, then role)
@@ -22,10 +22,13 @@ give empty results. Further columns don't matter.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.llm.shared import stage
+from corvane.llm.shared import shared_dir, stage
 
 
 def messages(turns: DataFrame, parent: str | None = None, score: str | None = None) -> DataFrame:
@@ -47,23 +50,32 @@ def messages(turns: DataFrame, parent: str | None = None, score: str | None = No
     return rows.select("conv_id", "node", "parent", "turn", "role", "text", "score")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, doublings: int = 4) -> DataFrame:
     """(conv_id, leaf, path): for each leaf the nodes from its root to it.
 
-    ``nodes`` must be staged. Each round joins the unfinished paths with the
-    narrow (node, parent) pairs and is written to the shared folder.
+    ``nodes`` must be staged. First every node learns its nearest ancestors, by
+    joining the nodes' stretches with those above them; each of the
+    ``doublings`` makes them twice as long, up to 16 nodes, so their size stays
+    bounded. Then the leaves climb, a stretch in each round. Rounds write to the
+    shared folder; finished paths are appended to one table, which is read once.
     """
-    links = nodes.select("conv_id", "node", "parent")
-    inner = links.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
-    open_ = stage(links.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), F.array("node").alias("path"), F.col("parent").alias("next")), "paths")
-    done = None
+    spark, schema = nodes.sparkSession, nodes.schema
+    up = nodes.select("conv_id", "node", F.array("node").alias("path"), F.col("parent").alias("next"))
+    for _ in range(doublings):
+        above = up.select("conv_id", F.col("node").alias("next"), F.col("path").alias("higher"), F.col("next").alias("after"))
+        longer = F.when(F.col("higher").isNull(), F.col("path")).otherwise(F.concat("higher", "path"))
+        up = stage(up.join(above, ["conv_id", "next"], "left").select("conv_id", "node", longer.alias("path"), F.col("after").alias("next")), "stretches")
+    inner = nodes.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
+    open_ = up.join(inner, ["conv_id", "node"], "left_anti").withColumnRenamed("node", "leaf")
+    above = up.select("conv_id", F.col("node").alias("next"), F.col("path").alias("higher"), F.col("next").alias("after"))
+    done = f"{shared_dir(spark)}/ended-{uuid.uuid4().hex}"
     while True:
-        ended = open_.where("next is null").select("conv_id", "leaf", "path")
-        done = ended if done is None else done.unionByName(ended)
+        open_ = stage(open_, "paths")
+        open_.where("next is null").select("conv_id", "leaf", "path").write.mode("append").parquet(done)
         if open_.where("next is not null").isEmpty():
-            return done
-        up = links.select("conv_id", F.col("node").alias("next"), F.col("parent").alias("above"))
-        open_ = stage(open_.where("next is not null").join(up, ["conv_id", "next"]).select("conv_id", "leaf", F.concat(F.array("next"), "path").alias("path"), F.col("above").alias("next")), "paths")
+            kind = T.StructType([schema["conv_id"], T.StructField("leaf", T.LongType()), T.StructField("path", T.ArrayType(T.LongType()))])
+            return spark.read.schema(kind).parquet(done)
+        open_ = open_.where("next is not null").join(above, ["conv_id", "next"]).select("conv_id", "leaf", F.concat("higher", "path").alias("path"), F.col("after").alias("next"))
 
 
 def conversations(turns: DataFrame, branches: int = 1, parent: str | None = None, score: str | None = None) -> DataFrame:
