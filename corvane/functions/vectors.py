@@ -81,12 +81,17 @@ def hashing_encoder(dimensions: int = 256) -> Encoder:
     return encode
 
 
-def encode(text: Column, encoder: Encoder, instruction: str = "") -> Column:
-    """Vectors of texts by any encoder, in Arrow batches; ``instruction`` is put before each text."""
+def encode(text: Column, encoder: Encoder, instruction: str = "", dimensions: int | None = None) -> Column:
+    """Vectors of texts at length 1 by any encoder, in Arrow batches.
+
+    ``instruction`` is put before each text; ``dimensions`` keeps only the first ones.
+    """
 
     @F.pandas_udf(_DOUBLES)
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(list(np.asarray(encoder(instruction + s.fillna("") if instruction else s), float)))
+        x = np.asarray(encoder(instruction + s.fillna("") if instruction else s), float).reshape(len(s), -1)[:, :dimensions]
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)))
 
     return run(text)
 

@@ -8,16 +8,17 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.tokenize import alphanum
-from corvane.functions.vectors import Encoder, encode, hashing_encoder, normalise, principal_axes, remove_axes, truncate
+from corvane.functions.vectors import Encoder, encode, hashing_encoder, normalise, principal_axes, remove_axes
 from corvane.operators import dense, fusion, retrieval, scoring
-from corvane.operators.graph import Graph, knn_edges
+from corvane.operators.graph import Graph, canonical, knn_edges
 from corvane.plans import cypher
 from corvane.plans.dialect import SIMILAR, Clause, Query, Rewriter, SqlError, issql
-from corvane.sources.content import Columns, Content
+from corvane.sources.content import Columns, Content, numbered
 
 
 class IndexNotFoundError(KeyError):
@@ -49,6 +50,18 @@ class Settings:
     prefilter: bool = False
 
 
+def other_text(sections: DataFrame, docs: DataFrame, id: str, column: str) -> DataFrame:
+    """Sections with the text of another column of the documents, where it isn't null."""
+    texts = docs.where(F.col(column).isNotNull()).select(F.col(id).cast("string").alias("id"), F.col(column).cast("string").alias("text"))
+    return sections.drop("text").join(texts, "id").select("indexid", "id", "text", "tags", "entry")
+
+
+def given_vectors(sections: DataFrame, docs: DataFrame, id: str, vector: str) -> DataFrame:
+    """(indexid, vector) from a column of the documents."""
+    rows = docs.select(F.col(id).cast("string").alias("id"), F.col(vector).alias("vector")).where("vector is not null").dropDuplicates(["id"])
+    return sections.select("indexid", "id").join(rows, "id").select("indexid", normalise(F.col("vector")).alias("vector"))
+
+
 @dataclass
 class Index:
     """Views of one set of rows. Tables are DataFrames; changes give a new index."""
@@ -59,7 +72,10 @@ class Index:
     encoder: Encoder = field(default_factory=hashing_encoder)
     graph: Graph | None = None
     indexes: dict[str, Index] = field(default_factory=dict)
+    sources: dict[str, str] = field(default_factory=dict)
     tokenizer: scoring.Tokenizer = alphanum
+    given: bool = False
+    axes: np.ndarray | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -75,34 +91,34 @@ class Index:
         table = Content.of(docs, id, settings.columns, tags, **content)
         self = cls(table, settings, encoder=encoder or hashing_encoder())
         if vector:
-            rows = docs.select(F.col(id).cast("string").alias("id"), F.col(vector).alias("vector")).where("vector is not null").dropDuplicates(["id"])
-            self.vectors = table.sections.select("indexid", "id").join(rows, "id").select("indexid", normalise(F.col("vector")).alias("vector"))
+            self.vectors, self.given = given_vectors(table.sections, docs, id, vector), True
         elif settings.dense:
             self.vectors = self.encoded(table.sections)
         for name, (column, own) in (indexes or {}).items():
-            texts = docs.where(F.col(column).isNotNull()).select(F.col(id).cast("string").alias("id"), F.col(column).alias("text"))
-            part = replace(table, sections=table.sections.drop("text").join(texts, "id").select("indexid", "id", "text", "tags", "entry"))
-            self.indexes[name] = cls(part, own, encoder=self.encoder)
+            part = replace(table, sections=other_text(table.sections, docs, id, column))
+            self.indexes[name], self.sources[name] = cls(part, own, encoder=self.encoder), column
             if own.dense:
                 self.indexes[name].vectors = self.indexes[name].encoded(part.sections)
         return self
 
     def encoded(self, sections: DataFrame) -> DataFrame:
         """(indexid, vector) of sections, with the main axes removed where the settings say so."""
-        v = encode(F.col("text"), self.encoder, self.settings.instructions.get("data", ""))
-        if self.settings.dimensions:
-            v = truncate(v, self.settings.dimensions)
-        rows = sections.where("text is not null").select("indexid", normalise(v).alias("vector"))
+        v = encode(F.col("text"), self.encoder, self.settings.instructions.get("data", ""), self.settings.dimensions)
+        rows = sections.where("text is not null").select("indexid", v.alias("vector"))
         if self.settings.pca:
-            _, axes = principal_axes(rows, "vector", self.settings.pca)
-            rows = rows.select("indexid", remove_axes(F.col("vector"), axes).alias("vector"))
+            if self.axes is None:
+                _, self.axes = principal_axes(rows, "vector", self.settings.pca)
+            rows = rows.select("indexid", remove_axes(F.col("vector"), self.axes).alias("vector"))
         return rows
 
     def transform(self, texts: list[str], category: str = "query") -> list[list[float]]:
         """Vectors of texts."""
         rows = self.spark.createDataFrame(list(enumerate(texts)), "qid int, text string")
-        v = normalise(encode(F.col("text"), self.encoder, self.settings.instructions.get(category, "")))
-        return [r["v"] for r in rows.select("qid", v.alias("v")).orderBy("qid").collect()]
+        v = encode(F.col("text"), self.encoder, self.settings.instructions.get(category, ""), self.settings.dimensions)
+        rows = rows.select("qid", v.alias("v"))
+        if self.axes is not None:
+            rows = rows.select("qid", remove_axes(F.col("v"), self.axes).alias("v"))
+        return [list(r["v"]) for r in rows.orderBy("qid").collect()]
 
     # Changes
 
@@ -110,34 +126,64 @@ class Index:
         if not self.settings.writable:
             raise ReadOnlyError("the index isn't writable")
 
-    def upsert(self, docs: DataFrame, id: str, tags: str | None = None) -> Index:
+    def upsert(self, docs: DataFrame, id: str, tags: str | None = None, vector: str | None = None) -> Index:
+        """With documents that replace those of the same ids; only their texts are encoded and only their edges are looked for."""
         self._writable()
         content = self.content.upsert(Content.of(docs, id, self.settings.columns, tags))
-        return self._with(content)
+        out = self._less(content)
+        new = content.sections.where(F.col("indexid") >= content.offset)
+        if self.vectors is not None:
+            vectors = given_vectors(new, docs, id, vector) if vector else self.encoded(new)
+            out.vectors = out.vectors.unionByName(vectors)
+            if out.graph is not None:
+                nodes = out.graph.nodes.unionByName(new.select("indexid", "id", "text"), allowMissingColumns=True)
+                found = dense.search(out.vectors, vectors.withColumnRenamed("indexid", "qid"), 15, loops=False).where("score > 0.1")
+                edges = found.select(F.col("qid").alias("src"), F.col("indexid").alias("dst"), F.col("score").alias("weight"))
+                out.graph = Graph(nodes, canonical(out.graph.edges.unionByName(edges)))
+        for name, part in out.indexes.items():
+            if (column := self.sources[name]) in docs.columns:
+                part.content = replace(part.content, sections=part.content.sections.unionByName(other_text(new, docs, id, column)))
+                if part.vectors is not None:
+                    part.vectors = part.vectors.unionByName(part.encoded(other_text(new, docs, id, column)))
+        return out
 
     def delete(self, ids: list[str]) -> Index:
         self._writable()
-        gone = self.spark.createDataFrame([(str(i),) for i in ids], "id string")
-        old = self.content.indexids(gone)
-        out = self._with(self.content.delete(gone))
-        if self.graph is not None:
-            out.graph = self.graph.without(old)
-        return out
+        return self._less(self.content.delete(self.spark.createDataFrame([(str(i),) for i in ids], "id string")))
 
     def reindex(self, settings: Settings | None = None, function: Callable[[DataFrame], DataFrame] | None = None) -> Index:
-        """Numbers made dense, with new settings and a change of the sections if asked for."""
+        """Numbers made dense, with new settings and a change of the sections if asked for.
+
+        Texts are encoded anew; vectors that were given move to the new numbers. A graph has to be made anew.
+        """
         self._writable()
         content = self.content.reindex()
         if function:
             content = replace(content, sections=function(content.sections))
-        return replace(self, settings=settings or self.settings)._with(content)
-
-    def _with(self, content: Content) -> Index:
-        out = replace(self, content=content, graph=None)
-        if self.vectors is not None:
+        out = replace(self, content=content, settings=settings or self.settings, graph=None, indexes={}, axes=None)
+        moved = numbered(self.content.sections.select(F.col("indexid").alias("old")), "old")
+        for name, part in self.indexes.items():
+            sections = part.content.sections.withColumnRenamed("indexid", "old").join(moved, "old").select("indexid", "id", "text", "tags", "entry")
+            out.indexes[name] = replace(part, content=replace(content, sections=sections))
+            if part.vectors is not None:
+                out.indexes[name].vectors = part.encoded(sections)
+        if self.given and self.vectors is not None:
+            out.vectors = self.vectors.withColumnRenamed("indexid", "old").join(moved, "old").select("indexid", "vector")
+        elif self.vectors is not None or out.settings.dense:
             out.vectors = out.encoded(content.sections)
         return out
 
+    def _less(self, content: Content) -> Index:
+        """The views of the rows that ``content`` still has."""
+        live = content.sections.select("indexid")
+        keep = lambda t: None if t is None else t.join(live, "indexid", "left_semi")
+        out = replace(self, content=content, vectors=keep(self.vectors), indexes={})
+        if self.graph is not None:
+            out.graph = self.graph.without(self.graph.nodes.select("indexid").join(live, "indexid", "left_anti"))
+        for name, part in self.indexes.items():
+            out.indexes[name] = replace(part, content=replace(part.content, sections=keep(part.content.sections)), vectors=keep(part.vectors))
+        return out
+
     def count(self) -> int:
         return self.content.count()
 
@@ -147,7 +193,7 @@ class Index:
             self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         if self.graph is not None:
             self.graph.save(f"{path}/graph")
-        names = {"vectors": self.vectors is not None, "graph": self.graph is not None}
+        names = {"vectors": self.vectors is not None, "graph": self.graph is not None, "given": self.given, "axes": None if self.axes is None else self.axes.tolist()}
         self.spark.createDataFrame([(json.dumps(names),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/index")
 
     @classmethod
@@ -156,6 +202,7 @@ class Index:
         self = cls(Content.load(spark, path), settings or Settings(), encoder=encoder or hashing_encoder())
         self.vectors = spark.read.parquet(f"{path}/vectors") if names["vectors"] else None
         self.graph = Graph.load(spark, f"{path}/graph") if names["graph"] else None
+        self.given, self.axes = names["given"], None if names["axes"] is None else np.array(names["axes"])
         return self
 
     # Search
@@ -273,7 +320,7 @@ class Index:
     def similarity(self, query: str, texts: list[str]) -> list[tuple[int, float]]:
         """All of ``texts`` ranked by their similarity to ``query``."""
         rows = self.spark.createDataFrame(list(enumerate(texts)), "indexid long, text string")
-        v = rows.select("indexid", normalise(encode(F.col("text"), self.encoder)).alias("vector"))
+        v = rows.select("indexid", encode(F.col("text"), self.encoder, dimensions=self.settings.dimensions).alias("vector"))
         found = dense.search(v, dense.vectors(self.spark, self.transform([query])), None)
         return [(r["indexid"], r["score"]) for r in found.orderBy(F.desc("score"), "indexid").collect()]
 
