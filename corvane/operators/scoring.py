@@ -105,7 +105,8 @@ class Terms:
         wanted = spark.createDataFrame([(q, t, False) for q, t in asked] + [(q, t.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%"), True) for q, t in wild], "qid int, pattern string, wild boolean")
         names = found.join(F.broadcast(wanted), F.when(F.col("wild"), F.expr("term like pattern")).otherwise(F.col("term") == F.col("pattern")))
         weights = names.groupBy("qid", "term", "df", "cf", "idf", "total", "avgdl").agg(F.count(F.lit(1)).alias("n"))
-        hits = postings.join(F.broadcast(weights), "term")
+        # Without wildcards there are as many as the queries have words; a wildcard may stand for any number.
+        hits = postings.join(weights if likes else F.broadcast(weights), "term")
         if self.deleted is not None:
             hits = hits.join(self.deleted.select("indexid"), "indexid", "left_anti")
         score = self.method.weight(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl")) * F.col("n")

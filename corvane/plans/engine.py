@@ -253,7 +253,7 @@ class Index:
     def batchsearch(self, queries: list[str], limit: int | None = None, weights: float | None = None) -> DataFrame:
         """(qid, id, text, score) of plain-text queries, in one job."""
         found = self.candidates(queries, limit or self.settings.limit, weights)
-        return self.content.sections.join(F.broadcast(found), "indexid").select("qid", "id", "text", "score")
+        return self.content.sections.join(found, "indexid").select("qid", "id", "text", "score")
 
     def sql(self, query: str, limit: int | None = None, parameters: dict[str, Any] | None = None, weights: float | None = None, index: str | None = None) -> DataFrame:
         """A query of the dialect. ``limit`` holds only for queries without LIMIT; None returns all rows."""

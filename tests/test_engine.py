@@ -196,6 +196,10 @@ def test_dense_search_in_parts_and_clusters(spark):
 
     assert sets(dense.search(rows, queries, 5)) == want
     assert sets(dense.search(rows, queries, 5, most=300)) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # several batches in a task
+    assert sets(dense.search(rows.coalesce(1), queries, 5)) == want
+    assert all(r["indexid"] != r["qid"] for r in dense.search(rows.coalesce(2), queries, 5, loops=False).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     found = sets(dense.probe(*dense.clusters(rows, 4), queries, 5, 4))
     assert np.mean([len(found[q] & want[q]) / 5 for q in range(20)]) >= 0.9
 
