@@ -1,18 +1,23 @@
-"""Near-duplicate detection: MinHash bands propose, odd sketches decide.
+"""Near-duplicate detection: MinHash bands propose, odd sketches decide what is clear, shingle sets the rest.
 
 A document is its set of word 3-grams (of all its words where it has fewer).
 ``SAMPLES`` MinHash values are cut into bands; documents that agree on a band
 are candidates. The samples are also folded into a parity bitmap, the odd
 sketch: each pair (sample number, value) flips one bit. With d bits set in the
 XOR of two sketches, J = 1 + n / (4 k) * ln(1 - 2 d / n) for n bits and k
-samples, so a candidate is verified by a population count.
+samples, so a population count judges a candidate. The count is noisy (its
+standard deviation at J = 0.5 is about 10 bits, or 0.055 of J), so it only
+accepts from ``SLACK`` over the threshold on and refuses from ``SLACK`` under it
+on; candidates between are settled by the exact Jaccard similarity of their
+shingle sets, unless accepted ones join them already.
 
 Documents with equal samples are folded into the least doc_id among them
 first, with map-side combining, so crowds of copies cost nothing later. In a
 bucket, components are grown from a member: it absorbs all members within
 reach, then each of those looks at what is left. That is single linkage, exact
-for every pair of the bucket, and near linear when the members are alike. The
-groups are the connected components over all buckets.
+for every pair of the bucket, and near linear when the members are alike;
+unclear pairs are sought only between a bucket's components. The groups are the
+connected components over all buckets.
 
 Defined results: null texts, and texts without a word, match nothing and stay.
 Rows with a null doc_id stay. Rows that share a doc_id share its fate: the
@@ -37,6 +42,8 @@ from corvane.llm.words import U, gram_starts, grams, mix, words
 SHINGLE, BANDS, ROWS, BITS = 3, 50, 4, 512
 SAMPLES = BANDS * ROWS
 THRESHOLD = 0.5
+#: How far from the threshold a sketch decides alone, over three standard deviations.
+SLACK = 0.2
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -148,12 +155,26 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kept.filter(pa.array(n[back] > 1)).combine_chunks().to_batches()
 
 
+def unclear(sketches: np.ndarray, edges: list[tuple[int, int]], most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs at most ``most`` bits apart between the trees of ``link``: a member, and later ones."""
+    tree = np.arange(len(sketches))
+    for u, v in edges:
+        tree[v] = tree[u]
+    if (tree == tree[0]).all():
+        return
+    for u in range(len(sketches) - 1):
+        others = u + 1 + np.flatnonzero(tree[u + 1 :] != tree[u])
+        near = others[np.bitwise_count(sketches[others] ^ sketches[u]).sum(1) <= most]
+        if len(near):
+            yield u, near
+
+
 def near_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of the ids in ``reps`` (rep, bands, sketch) that span the groups of each bucket."""
+    """Pairs (a, b, sure) of the ids in ``reps`` (rep, bands, sketch): those that span the sure groups of each bucket, and the unclear ones."""
     kind = id_type(reps, "rep")
     buckets = reps.select(F.explode("bands").alias("bucket"), "rep").repartition("bucket")
     crowded = buckets.mapInArrow(_crowded, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("rep", kind)]))
-    most = farthest(threshold)
+    clear, most = farthest(threshold + SLACK), farthest(threshold - SLACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (batches := list(batches)):
@@ -161,29 +182,84 @@ def near_edges(reps: DataFrame, threshold: float) -> DataFrame:
         t = pa.Table.from_batches(batches)
         order = np.argsort(bucket := t.column(0).to_numpy(), kind="stable")
         sketch = np.frombuffer(b"".join(t.column(2).to_pylist()), U).reshape(-1, BITS // 64)[order]
+        rep = t.column(1).combine_chunks()
+
+        def pairs(a: list[np.ndarray], b: list[np.ndarray], sure: list[np.ndarray]) -> pa.RecordBatch:
+            ends = [rep.take(pa.array(order[np.concatenate(x)])) for x in (a, b)]
+            return pa.RecordBatch.from_arrays([*ends, pa.array(np.concatenate(sure))], ["a", "b", "sure"])
+
         edge = np.flatnonzero(np.diff(bucket[order])) + 1
         firsts, lasts = np.r_[0, edge], np.r_[edge, len(order)]
         two = firsts[lasts - firsts == 2]
-        two = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1) <= most]
-        a, b = [two], [two + 1]
+        apart = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1)
+        two, apart = two[apart <= most], apart[apart <= most]
+        a, b, sure = [two], [two + 1], [apart <= clear]
+        held = 0
         for lo, hi in zip(firsts, lasts):
-            if hi - lo > 2 and (found := link(sketch[lo:hi], most)):
-                pairs = np.array(found) + lo
-                a.append(pairs[:, 0])
-                b.append(pairs[:, 1])
-        rep = t.column(1).combine_chunks()
-        yield pa.RecordBatch.from_arrays([rep.take(pa.array(order[np.concatenate(a)])), rep.take(pa.array(order[np.concatenate(b)]))], ["a", "b"])
+            if hi - lo <= 2:
+                continue
+            found = link(sketch[lo:hi], clear)
+            if found:
+                ends = np.array(found) + lo
+                a.append(ends[:, 0])
+                b.append(ends[:, 1])
+                sure.append(np.ones(len(ends), bool))
+            for u, others in unclear(sketch[lo:hi], found, most):
+                a.append(np.full(len(others), lo + u))
+                b.append(lo + others)
+                sure.append(np.zeros(len(others), bool))
+                held += len(others)
+                if held > 1 << 20:
+                    yield pairs(a, b, sure)
+                    a, b, sure, held = [two[:0]], [two[:0]], [np.zeros(0, bool)], 0
+        yield pairs(a, b, sure)
 
     members = crowded.join(reps.select("rep", "sketch"), "rep").select("bucket", "rep", "sketch").repartition("bucket")
-    return members.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return members.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sure", T.BooleanType())]))
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, shingles) from (doc_id, text): the hashes of each document's shingles, once each."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values, counts = shingles(batch.column(1))
+        ends = np.cumsum(counts)
+        sets = [np.unique(values[e - n : e]) for e, n in zip(ends, counts)]
+        offsets = np.cumsum([0, *(len(x) for x in sets)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "shingles"])
+
+    return map_text(docs, "text", T.StructType([T.StructField("doc_id", id_type(docs, "doc_id")), T.StructField("shingles", T.ArrayType(T.LongType()))]), run)
+
+
+def settled(pairs: DataFrame, docs: DataFrame, threshold: float, most: int = 4_000_000) -> DataFrame:
+    """Of the staged ``pairs`` (a, b), those whose shingle sets in ``docs`` (doc_id, text) have the Jaccard similarity ``threshold``.
+
+    Their ids are broadcast only up to ``most`` (32 MB); beyond, both sides shuffle.
+    """
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "unclear_ids")
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi").distinct()
+    sets = stage(shingle_sets(wanted), "shingle_sets")
+    left, right = (sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"of_{end}")) for end in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("total"))
+    return both.where(F.col("shared") >= F.lit(threshold) * (F.col("total") - F.col("shared"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of) for each document of a group other than its least doc_id, staged."""
     signed = stage(signatures(docs, doc_id, text), "signatures")
     reps = stage(signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "representatives")
-    roots = components(near_edges(reps, threshold).unionByName(signed.join(reps.select("sig", "rep"), "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    found = stage(near_edges(reps, threshold), "near_edges")
+    roots = components(found.where("sure").select("a", "b").unionByName(signed.join(reps.select("sig", "rep"), "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    maybe = found.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for end in ("a", "b"):
+        maybe = maybe.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    maybe = stage(maybe.where("root_a <> root_b"), "unclear")
+    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    joined = maybe.join(settled(maybe.select("a", "b"), rows, threshold), ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    # Each root that another one replaces is a group's least document so far, and has no row of its own yet.
+    moved = components(joined).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    every = roots.join(moved, "root", "left").select(F.col("node").alias("doc_id"), F.coalesce("least", "root").alias("duplicate_of"))
+    return stage(every.unionByName(moved.select(F.col("root").alias("doc_id"), F.col("least").alias("duplicate_of"))), "near_duplicates")
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

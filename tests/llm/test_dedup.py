@@ -116,6 +116,22 @@ def test_near_recall_against_all_pairs(docs_of):
     assert not any(root(a) == root(b) for a, b in far)
 
 
+def test_near_pairs_at_the_threshold_by_exact_jaccard(docs_of):
+    rng = random.Random(13)
+    rows, pairs = [], []
+    for _ in range(500):
+        base = words_of(rng, 200)
+        other = changed(rng, base, rng.uniform(0.08, 0.15))
+        if 0.43 <= (j := jaccard(" ".join(base), " ".join(other))) <= 0.56:
+            pairs.append((len(rows), j))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    found = {r.doc_id: r.duplicate_of for r in near_dedup.near_duplicates(docs_of(rows, False)).collect()}
+    near = [found.get(a + 1) == a for a, j in pairs if j >= 0.5]
+    assert len(near) > 100 and np.mean(near) >= 0.93
+    under = [a + 1 in found for a, j in pairs if j < 0.5]
+    assert len(under) > 50 and not any(under)
+
+
 def test_near_awkward(docs_of):
     rows = [(1, None), (2, ""), (3, ""), (4, "... !"), (5, "one two three four five"), (6, "One, two; three four FIVE!"), (6, "One, two; three four FIVE!"), (None, "one two three four five"), (7, "word"), (8, "word"), (9, "w " * 200_000)]
     docs = docs_of(rows)
