@@ -97,6 +97,15 @@ def test_rows(docs_of):
     assert pii.pseudonymise(docs_of([]), KEY).count() == 0
 
 
+def test_rows_with_nothing_but_a_title(docs_of):
+    titles = [t for ts in pii._TITLES.values() for t in ts.split()]
+    rows = [(i, f"текст {t} Иванов ушёл") for i, t in enumerate(titles)] + [(i + len(titles), f"é{t} Smith, {t} Smith") for i, t in enumerate(titles)]
+    rows += [(2 * len(titles), "call ٠٢٠-٥٥٥-١٢٣٤ now")]
+    got = {r.doc_id: (r.text, r.entities) for r in pii.pseudonymise(docs_of(rows, False), KEY).collect()}
+    assert got == {i: replaced(t) for i, t in rows}
+    assert all(got[i][1] == 1 and "Иванов" not in got[i][0] for i in range(len(titles)))
+
+
 def test_as_row_by_row_over_the_table(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     got = {r.doc_id: (r.text, r.entities) for r in pii.pseudonymise(docs, KEY).collect()}
