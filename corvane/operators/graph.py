@@ -126,10 +126,10 @@ class Graph:
                 return new
             labels = new
 
-    def louvain(self, resolution: float = 1.0, most: int = 5_000_000) -> DataFrame:
-        """(indexid, label) of greedy modularity communities; on the driver, for graphs of at most ``most`` edges (label propagation beyond)."""
-        if self.edges.count() > most:
-            return self.labels()
+    def louvain(self, resolution: float = 1.0, most: int | None = None) -> DataFrame:
+        """(indexid, label) of greedy modularity communities, on the driver at every size; with ``most``, more edges than that are an error."""
+        if most is not None and (n := self.edges.count()) > most:
+            raise ValueError(f"{n} edges; communities of at most {most} were asked for")
         e = self.edges.orderBy("src", "dst").toPandas()
         nodes = [r[0] for r in self.nodes.select("indexid").orderBy("indexid").collect()]
         found = _louvain(nodes, list(zip(e.src.tolist(), e.dst.tolist(), e.weight.tolist())), resolution)

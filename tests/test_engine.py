@@ -158,6 +158,14 @@ def test_shards(spark):
     assert shard_of("abc", 4) == shard_of("abc", 4) < 4
 
 
+def test_communities_never_change_the_method(spark):
+    pairs = [(a + x, a + y, 1.0) for a in (0, 4) for x in range(4) for y in range(x + 1, 4)] + [(3, 4, 0.5)]
+    g = Graph(spark.createDataFrame([(i,) for i in range(8)], "indexid long"), spark.createDataFrame(pairs, "src long, dst long, weight double"))
+    assert {r.indexid: r.label for r in g.louvain().collect()} == {i: i // 4 * 4 for i in range(8)}
+    with pytest.raises(ValueError, match="13 edges"):
+        g.louvain(most=12)
+
+
 def test_complete_graph(spark):
     nodes = spark.range(5).select(F.col("id").alias("indexid"))
     edges = spark.createDataFrame([(a, b, 1.0) for a in range(5) for b in range(a + 1, 5)], "src long, dst long, weight double")
