@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,11 +104,23 @@ class Graph:
             ranks = stage(rows.select("indexid", "loose", (F.lit((1 - damping) / total) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("shared"))).alias("rank")), "ranks")
         return ranks.select("indexid", "rank")
 
-    def labels(self, rounds: int = 5) -> DataFrame:
-        """(indexid, label) by synchronous label propagation: each node takes the label of most weight around it, then the least one."""
+    def labels(self, rounds: int | None = None) -> DataFrame:
+        """(indexid, label) by synchronous label propagation: each node takes the label of most weight around it, then the least one.
+
+        It runs until no label changes, or for ``rounds``. Where labels come
+        back in turns instead, each node gets the least of those it takes in a turn.
+        """
         links = stage(self.both(), "links")
         labels = self.nodes.select("indexid", F.col("indexid").alias("label"))
-        for _ in range(rounds):
+        marks, passed = [], []
+        while rounds is None or len(passed) < rounds:
+            if rounds is None:
+                mark = labels.agg(F.sum(F.xxhash64("indexid", "label").cast("decimal(38,0)"))).first()
+                if mark in marks:
+                    turn = passed[marks.index(mark) :]
+                    return labels if len(turn) == 1 else reduce(DataFrame.unionByName, turn).groupBy("indexid").agg(F.min("label").alias("label"))
+                marks.append(mark)
+            passed.append(labels)
             votes = links.join(labels, links.dst == labels.indexid).groupBy("src", "label").agg(F.sum("weight").alias("w"))
             best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.round("w", 9), F.col("label"))).alias("new"))
             labels = stage(labels.join(best, labels.indexid == best.src, "left").select("indexid", F.coalesce("new", "label").alias("label")), "labels")
