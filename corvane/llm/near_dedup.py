@@ -16,8 +16,10 @@ first, with map-side combining, so crowds of copies cost nothing later. In a
 bucket, components are grown from a member: it absorbs all members within
 reach, then each of those looks at what is left. That is single linkage, exact
 for every pair of the bucket, and near linear when the members are alike;
-unclear pairs are sought only between a bucket's components. The groups are the
-connected components over all buckets.
+unclear pairs are sought only between a bucket's components. Rows come in order
+of bucket, so a task holds one bucket at a time, and a bucket of more than
+``CHUNK`` members is cut into chunks whose pairs are compared block by block, in
+tasks of their own. The groups are the connected components over all buckets.
 
 Defined results: null texts, and texts without a word, match nothing and stay.
 Rows with a null doc_id stay. Rows that share a doc_id share its fate: the
@@ -27,6 +29,7 @@ document counts as its least sketch. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ SAMPLES = BANDS * ROWS
 THRESHOLD = 0.5
 #: How far from the threshold a sketch decides alone, over three standard deviations.
 SLACK = 0.2
+#: Members of a bucket that are compared at a time.
+CHUNK = 1 << 14
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -146,50 +151,84 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return map_text(rows, "text", schema, run)
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (bucket, rep), those whose bucket has several; a bucket's rows are all in one partition."""
-    kept = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if kept is not None and kept.num_rows:
-        bucket = kept.column(0).to_numpy()
-        _, back, n = np.unique(bucket, return_inverse=True, return_counts=True)
-        yield from kept.filter(pa.array(n[back] > 1)).combine_chunks().to_batches()
+def _crowded(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Of (bucket, rep) in order of bucket, those whose bucket has several, with the chunk of the bucket that they fall into.
 
-
-def unclear(sketches: np.ndarray, edges: list[tuple[int, int]], most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs at most ``most`` bits apart between the trees of ``link``: a member, and later ones."""
+    A batch's last row waits for the next one, so a task holds one batch.
+    """
+    held, place = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch], held.schema)])
+        bucket = t.column(0).to_numpy()
+        first = np.r_[True, bucket[1:] != bucket[:-1]]
+        at = np.arange(len(bucket))
+        inside = at - np.maximum.accumulate(np.where(first, at, 0))
+        several = ~first | np.r_[~first[1:], False]
+        several[0] |= place > 0
+        inside[: len(bucket) if first.sum() == 1 else int(np.flatnonzero(first)[1])] += place
+        place = int(inside[-1])
+        held = t.slice(len(bucket) - 1)
+        yield from _chunks(t.slice(0, len(bucket) - 1), several[:-1], inside[:-1], chunk)
+    if held is not None and place:
+        yield from _chunks(held, np.ones(1, bool), np.array([place]), chunk)
+
+
+def _chunks(rows: pa.Table, keep: np.ndarray, inside: np.ndarray, chunk: int) -> Iterator[pa.RecordBatch]:
+    if keep.any():
+        out = rows.filter(pa.array(keep)).append_column("chunk", pa.array(inside[keep] // chunk))
+        yield from out.combine_chunks().to_batches()
+
+
+def unclear(sketches: np.ndarray, edges: list[tuple[int, int]], most: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs at most ``most`` bits apart between the trees of ``link``: a member, and later ones (of the other ``side``)."""
     tree = np.arange(len(sketches))
     for u, v in edges:
         tree[v] = tree[u]
     if (tree == tree[0]).all():
         return
     for u in range(len(sketches) - 1):
-        others = u + 1 + np.flatnonzero(tree[u + 1 :] != tree[u])
+        other = tree[u + 1 :] != tree[u]
+        if side is not None:
+            other &= side[u + 1 :] != side[u]
+        others = u + 1 + np.flatnonzero(other)
         near = others[np.bitwise_count(sketches[others] ^ sketches[u]).sum(1) <= most]
         if len(near):
             yield u, near
 
 
-def near_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, sure) of the ids in ``reps`` (rep, bands, sketch): those that span the sure groups of each bucket, and the unclear ones."""
-    kind = id_type(reps, "rep")
-    buckets = reps.select(F.explode("bands").alias("bucket"), "rep").repartition("bucket")
-    crowded = buckets.mapInArrow(_crowded, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("rep", kind)]))
-    clear, most = farthest(threshold + SLACK), farthest(threshold - SLACK)
+def block_edges(sketches: np.ndarray, side: np.ndarray, clear: int, most: int) -> tuple[list[tuple[int, int]], Iterator[tuple[int, np.ndarray]]]:
+    """(sure edges, unclear pairs) of one chunk, or of what two chunks have across them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (batches := list(batches)):
-            return
-        t = pa.Table.from_batches(batches)
-        order = np.argsort(bucket := t.column(0).to_numpy(), kind="stable")
-        sketch = np.frombuffer(b"".join(t.column(2).to_pylist()), U).reshape(-1, BITS // 64)[order]
-        rep = t.column(1).combine_chunks()
+    Of two chunks, one sure edge stands for all between the same two groups.
+    """
+    edges = link(sketches, clear)
+    if (side == side[0]).all():
+        return edges, unclear(sketches, edges, most)
+    group = np.arange(len(sketches))
+    for which in (side == side[0], side != side[0]):
+        at = np.flatnonzero(which)
+        for u, v in link(sketches[at], clear):
+            group[at[v]] = group[at[u]]
+    across = {tuple(sorted((int(group[u]), int(group[v])))): (u, v) for u, v in edges if side[u] != side[v]}
+    return list(across.values()), unclear(sketches, edges, most, side)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], clear: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b, sure) of (bucket, block, chunk, rep, sketch) in order of bucket and block; a task holds a batch and one block."""
+
+    def edges_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, block, chunk = (t.column(i).to_numpy() for i in range(3))
+        sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), U).reshape(-1, BITS // 64)
+        rep = t.column(3).combine_chunks()
 
         def pairs(a: list[np.ndarray], b: list[np.ndarray], sure: list[np.ndarray]) -> pa.RecordBatch:
-            ends = [rep.take(pa.array(order[np.concatenate(x)])) for x in (a, b)]
+            ends = [rep.take(pa.array(np.concatenate(x))) for x in (a, b)]
             return pa.RecordBatch.from_arrays([*ends, pa.array(np.concatenate(sure))], ["a", "b", "sure"])
 
-        edge = np.flatnonzero(np.diff(bucket[order])) + 1
-        firsts, lasts = np.r_[0, edge], np.r_[edge, len(order)]
+        edge = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(block) != 0)) + 1
+        firsts, lasts = np.r_[0, edge], np.r_[edge, len(bucket)]
         two = firsts[lasts - firsts == 2]
         apart = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1)
         two, apart = two[apart <= most], apart[apart <= most]
@@ -198,24 +237,58 @@ def near_edges(reps: DataFrame, threshold: float) -> DataFrame:
         for lo, hi in zip(firsts, lasts):
             if hi - lo <= 2:
                 continue
-            found = link(sketch[lo:hi], clear)
+            found, others = block_edges(sketch[lo:hi], chunk[lo:hi], clear, most)
             if found:
                 ends = np.array(found) + lo
                 a.append(ends[:, 0])
                 b.append(ends[:, 1])
                 sure.append(np.ones(len(ends), bool))
-            for u, others in unclear(sketch[lo:hi], found, most):
-                a.append(np.full(len(others), lo + u))
-                b.append(lo + others)
-                sure.append(np.zeros(len(others), bool))
-                held += len(others)
+            for u, near in others:
+                a.append(np.full(len(near), lo + u))
+                b.append(lo + near)
+                sure.append(np.zeros(len(near), bool))
+                held += len(near)
                 if held > 1 << 20:
                     yield pairs(a, b, sure)
                     a, b, sure, held = [two[:0]], [two[:0]], [np.zeros(0, bool)], 0
         yield pairs(a, b, sure)
 
-    members = crowded.join(reps.select("rep", "sketch"), "rep").select("bucket", "rep", "sketch").repartition("bucket")
-    return members.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sure", T.BooleanType())]))
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one = pa.Table.from_batches([batch])
+        t = one if held is None else pa.concat_tables([held, one])
+        bucket, block = t.column(0).to_numpy(), t.column(1).to_numpy()
+        other = np.flatnonzero((bucket != bucket[-1]) | (block != block[-1]))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        held = t.slice(whole)
+        if whole:
+            yield from edges_of(t.slice(0, whole).combine_chunks())
+    if held is not None:
+        yield from edges_of(held.combine_chunks())
+
+
+def near_edges(reps: DataFrame, threshold: float, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b, sure) of the ids in ``reps`` (rep, bands, sketch): those that span the sure groups of each bucket, and the unclear ones.
+
+    A bucket of more than ``chunk`` members is compared in blocks of two chunks,
+    each a group of its own for the shuffle; a pair of it lies in one block.
+    """
+    kind = id_type(reps, "rep")
+    long = T.LongType()
+    buckets = reps.select(F.explode("bands").alias("bucket"), "rep").repartition("bucket").sortWithinPartitions("bucket")
+    crowded = stage(buckets.mapInArrow(partial(_crowded, chunk=chunk), T.StructType([T.StructField("bucket", long), T.StructField("rep", kind), T.StructField("chunk", long)])), "crowded")
+    hot = stage(crowded.where("chunk > 0").groupBy("bucket").agg(F.max("chunk").alias("last")), "hot_buckets")
+    members = crowded.join(reps.select("rep", "sketch"), "rep")
+    block = F.lit(0).cast("long").alias("block")
+    if not hot.isEmpty():
+        members = members.join(hot, "bucket", "left")
+        ends = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long"))), lambda i: F.shiftleft(F.least(i, F.col("chunk")), 31) + F.greatest(i, F.col("chunk")))
+        block = F.explode(ends).alias("block")
+    members = members.select("bucket", block, "chunk", "rep", "sketch").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    clear, most = farthest(threshold + SLACK), farthest(threshold - SLACK)
+    return members.mapInArrow(partial(_pairs, clear=clear, most=most), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sure", T.BooleanType())]))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:

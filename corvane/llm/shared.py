@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,31 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.sources.scratch import folder as shared_dir
+from corvane.sources.scratch import release, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see, from ``spark.checkpoint.dir``.
-
-    Only where the session has none (single-machine tests) a folder of this
-    process is made and set, once.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        folder = tempfile.mkdtemp(prefix="corvane-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        path = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
-
-    It cuts lineage: the rows are computed once and outlive lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["anti_by_id", "fixed_binary", "fresh", "id_type", "long_list", "map_text", "partitions", "release", "shared_dir", "slices", "stage", "strings", "table"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

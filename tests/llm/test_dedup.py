@@ -200,3 +200,28 @@ def test_components(spark):
 def test_shingles_of_short_texts():
     _, counts = near_dedup.shingles(pa.array(["a b c d", "a b", "a", "", None]))
     assert counts.tolist() == [2, 1, 1, 0, 0]
+
+
+def test_buckets_in_chunks_give_the_same_groups(spark, planted, monkeypatch):
+    rows, _ = planted
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = []
+    for chunk in (near_dedup.CHUNK, 3):
+        signed = near_dedup.stage(near_dedup.signatures(docs, "doc_id", "text"), "signed").withColumnRenamed("doc_id", "rep")
+        found = near_dedup.near_edges(signed, near_dedup.THRESHOLD, chunk).where("sure").select("a", "b")
+        groups.append({r.node: r.root for r in components(found).collect()})
+    assert groups[0] == groups[1] and len(groups[0]) > 100
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_crowded_whatever_the_batches(size):
+    rng = random.Random(size)
+    buckets = sorted(rng.choice([1, 1, 1, 2, *range(10, 60)]) for _ in range(90))
+    rows = [pa.RecordBatch.from_arrays([pa.array(buckets[i : i + size]), pa.array(list(range(i, min(90, i + size))))], ["bucket", "rep"]) for i in range(0, 90, size)]
+    found = [x for b in near_dedup._crowded(iter(rows), 4) for x in zip(*(c.to_pylist() for c in b.columns))]
+    want, seen = [], defaultdict(int)
+    for i, b in enumerate(buckets):
+        if buckets.count(b) > 1:
+            want.append((b, i, seen[b] // 4))
+        seen[b] += 1
+    assert found == want
