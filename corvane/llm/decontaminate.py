@@ -1,15 +1,20 @@
 """Benchmark decontamination by winnowing.
 
 Texts become hashed words (see ``words``). Of every ``WINDOW`` consecutive
-k-grams the least hash is a fingerprint, so any span that a document shares
+k-grams the last least hash is a fingerprint, so any span that a document shares
 with a test item and that has at least ``K + WINDOW - 1`` words holds a common
-fingerprint. The test fingerprints join the documents' inside the scan (a
-broadcast hash join), each hit is extended along its diagonal as far as both
-texts agree, and spans of the guaranteed length are kept. The result is then
-exactly the set of maximal shared spans of that length.
+fingerprint at the same place of both. Fingerprints of documents and test items
+are joined; each hit is extended along its diagonal as far as both texts agree,
+and spans of the guaranteed length are kept. The result is then exactly the set
+of maximal shared spans of that length.
 
-The test set is broadcast in parts of at most ``most`` bytes of text; a larger
-set takes one scan of the documents for each part.
+Documents first pass a sieve where they lie: a bitmap of the test fingerprints,
+at most 2^``SIEVE`` bits whatever the test set's size. Only documents that hit it
+(and their words) take part in the join; nothing else shuffles.
+
+Where a text repeats itself within ``K`` words, its fingerprints form chains; of
+two chains of one step only hits with the head of either are followed, since the
+others lie on the same spans. So repetitive texts cost the sum of their lengths.
 
 Defined results: null and empty texts on either side share nothing. A null
 doc_id or item_id is carried along. Repeated rows on either side give repeated
@@ -18,149 +23,222 @@ spans. Empty tables give empty results. Further columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from corvane.llm.shared import id_type, map_text, slices
-from corvane.llm.words import U, gram_starts, grams, words
+from corvane.llm.shared import fresh, id_type, map_text, slices, stage
+from corvane.llm.words import U, doc_of, gram_starts, grams, words
 
 K, WINDOW = 8, 6
 LEAST = K + WINDOW - 1
-_QUICK = 20
+#: The sieve has up to 2^29 bits (64 MB), 32 for each fingerprint while that suffices.
+SIEVE = 29
+_GAP = U(15)  # low bits of a fingerprint's key say how far back the text has the same one
 
 
 def fingerprints(hashes: np.ndarray, offsets: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the least k-gram of each window. Windows over the border of two texts only add some."""
-    none = np.empty(0, np.int64), np.empty(0, U)
+    """(position, hash) of the last least k-gram of each window. Windows over the border of two texts only add some."""
     g = grams(hashes, k)
     if not len(g):
-        return none
+        return np.empty(0, np.int64), np.empty(0, U)
     ok = gram_starts(offsets, k)[: len(g)]
     top = ~U(0)
-    low = np.where(ok, g, top)
-    pad = np.concatenate([np.full(window - 1, top), low, np.full(window - 1, top)])
-    n = len(low) + window - 1
-    least = pad[:n].copy()
-    for j in range(1, window):
-        np.minimum(least, pad[j : j + n], out=least)
-    most = least[: len(low)].copy()
-    for j in range(1, window):
-        np.maximum(most, least[j : j + len(low)], out=most)
-    at = np.flatnonzero(ok & (most == low))
+    low = np.where(ok, g & ~_GAP, top)
+    n = len(low)
+    pad = np.full(window - 1, top)
+    wide = np.concatenate([pad, low, pad])
+    reach = np.zeros(n, np.int8)
+    for step, fits in ((-1, np.greater_equal), (1, np.greater)):
+        on = np.ones(n, bool)
+        for j in range(1, window):
+            at = window - 1 + step * j
+            on &= fits(wide[at : at + n], low)
+            reach += on
+    at = np.flatnonzero(ok & (reach >= window - 1))
     return at, low[at]
 
 
+def keyed(at: np.ndarray, hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Fingerprints with the distance to the one before of the same hash in the same text, if that is at most ``K``."""
+    order = np.lexsort((at, hashes, text))
+    step = np.diff(at[order])
+    chained = (np.diff(text[order]) == 0) & (hashes[order][1:] == hashes[order][:-1]) & (step <= K)
+    gap = np.zeros(len(at), U)
+    gap[order[1:][chained]] = step[chained].astype(U)
+    return hashes | gap
+
+
 @dataclass
 class TestSet:
-    """Fingerprints in order of hash, each with its item and place, and all items' words."""
+    """Keys of fingerprints in order, each with its item and place, and all items' words."""
 
-    hash: np.ndarray
+    key: np.ndarray
     item: np.ndarray
     at: np.ndarray
-    quick: np.ndarray
     words: np.ndarray
     offsets: np.ndarray
-    ids: list
 
 
-def test_set(ids: list, texts: pa.Array) -> TestSet:
-    w = words(texts)
-    at, h = fingerprints(w.hash, w.offsets)
-    order = np.argsort(h, kind="stable")
-    at, h = at[order], h[order]
-    quick = np.zeros(1 << _QUICK, bool)
-    quick[(h >> U(64 - _QUICK)).astype(np.int64)] = True
-    return TestSet(h, np.searchsorted(w.offsets, at, "right") - 1, at, quick, w.hash, w.offsets, ids)
+def test_set(hashes: np.ndarray, offsets: np.ndarray) -> TestSet:
+    at, h = fingerprints(hashes, offsets)
+    item = np.searchsorted(offsets, at, "right") - 1
+    key = keyed(at, h, item)
+    order = np.argsort(key, kind="stable")
+    return TestSet(key[order], item[order], at[order], hashes, offsets)
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+    """How many words two runs have in common at their start."""
+    n, at, size = min(len(a), len(b)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(a[at : min(n, at + size)] != b[at : min(n, at + size)])
+        if len(differ):
+            return at + int(differ[0])
+        at, size = at + size, size * 4
+    return n
 
 
-def spans(texts: pa.Array, tests: TestSet) -> list[tuple[int, int, int, int, int]]:
+def spans(hashes: np.ndarray, offsets: np.ndarray, tests: TestSet) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start in the row's words, start in the item's words, words) of each maximal shared span."""
-    w = words(texts)
-    at, h = fingerprints(w.hash, w.offsets)
-    some = tests.quick[(h >> U(64 - _QUICK)).astype(np.int64)]
-    at, h = at[some], h[some]
-    lo, hi = np.searchsorted(tests.hash, h, "left"), np.searchsorted(tests.hash, h, "right")
+    at, h = fingerprints(hashes, offsets)
+    row = np.searchsorted(offsets, at, "right") - 1
+    lo, hi = np.searchsorted(tests.key, h, "left"), np.searchsorted(tests.key, h | _GAP, "right")
+    some = np.flatnonzero(hi > lo)
+    at, h, row, lo, hi = at[some], h[some], row[some], lo[some], hi[some]
+    key = keyed(at, h, row)
+    chained = key != h
+    skip, on = np.where(chained, np.searchsorted(tests.key, key, "left"), hi), np.where(chained, np.searchsorted(tests.key, key, "right"), hi)
     out: list[tuple[int, int, int, int, int]] = []
     reached: dict[tuple[int, int, int], int] = {}
-    hits = np.flatnonzero(hi > lo)
-    for i, row in zip(hits, np.searchsorted(w.offsets, at[hits], "right") - 1):
-        place, first, last = int(at[i]), int(w.offsets[row]), int(w.offsets[row + 1])
-        for j in range(lo[i], hi[i]):
+    for i, place in enumerate(at.tolist()):
+        first, last = int(offsets[row[i]]), int(offsets[row[i] + 1])
+        for j in (*range(lo[i], skip[i]), *range(on[i], hi[i])):
             item, there = int(tests.item[j]), int(tests.at[j])
-            diagonal = (int(row), item, place - there)
+            diagonal = (int(row[i]), item, place - there)
             if reached.get(diagonal, -1) > place:
                 continue
             a, b = int(tests.offsets[item]), int(tests.offsets[item + 1])
-            back = _agree(w.hash[max(first, place - (there - a)) : place][::-1], tests.words[a:there][::-1])
-            on = _agree(w.hash[place : min(last, place + b - there)], tests.words[there:b])
-            reached[diagonal] = place + on
-            if back + on >= LEAST:
-                out.append((int(row), item, place - back - first, there - back - a, back + on))
+            back = _agree(hashes[max(first, place - (there - a)) : place][::-1], tests.words[a:there][::-1])
+            ahead = _agree(hashes[place : min(last, place + b - there)], tests.words[there:b])
+            reached[diagonal] = place + ahead
+            if back + ahead >= LEAST:
+                out.append((int(row[i]), item, place - back - first, there - back - a, back + ahead))
     return out
 
 
-def _parts(bench: DataFrame, item_id: str, text: str, most: int) -> list[Broadcast]:
-    """The test set in broadcast parts of about ``most`` bytes of text."""
-    rows = bench.where(F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // most))
-    sent = []
-    for i in range(n):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else rows
-        t = part.toArrow()
-        sent.append(bench.sparkSession.sparkContext.broadcast(test_set(t.column(0).to_pylist(), t.column(1).combine_chunks())))
-    return sent
+def _prints(rows: DataFrame, key: str, sieve: Broadcast | None = None) -> DataFrame:
+    """(key, words, prints) of (key, text): the hashed words and the fingerprints, once each, of texts that have any (in the sieve)."""
+    schema = T.StructType([T.StructField(key, id_type(rows, key)), T.StructField("words", T.BinaryType()), T.StructField("prints", T.ArrayType(T.LongType()))])
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        w = words(batch.column(1))
+        at, h = fingerprints(w.hash, w.offsets)
+        if sieve is not None:
+            some = _passes(sieve.value, h)
+            at, h = at[some], h[some]
+        if not len(at):
+            return None
+        row = np.searchsorted(w.offsets, at, "right") - 1
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        once = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
+        row, h = row[once], h[once]
+        rows, first = np.unique(row, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(h.view(np.int64)))
+        texts = [w.hash[w.offsets[r] : w.offsets[r + 1]].tobytes() for r in rows]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(texts, pa.binary()), lists], schema.names)
+
+    return map_text(rows.where("text is not null").select(key, "text"), "text", schema, run)
+
+
+def _place(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U(64 - bits)).astype(np.int64)
 
-def contaminated_spans(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = 32 << 20) -> DataFrame:
-    """(doc_id, item_id, doc_start, item_start, n_words): each maximal span of at least ``LEAST`` words that a document shares with an item."""
-    long = T.LongType()
-    schema = T.StructType([T.StructField("doc_id", id_type(docs, doc_id)), T.StructField("item_id", id_type(bench, item_id)), T.StructField("doc_start", long), T.StructField("item_start", long), T.StructField("n_words", long)])
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = to_arrow_type(schema["item_id"].dataType)
-    out = None
-    for part in _parts(bench, item_id, item_text, most):
-
-        def run(batch: pa.RecordBatch, part: Broadcast = part) -> pa.RecordBatch:
-            found = spans(batch.column(1), part.value)
-            row, item, start, there, n = zip(*found) if found else [()] * 5
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array([part.value.ids[i] for i in item], kind), *(pa.array(x, pa.int64()) for x in (start, there, n))]
-            return pa.RecordBatch.from_arrays(columns, schema.names)
-
-        one = map_text(rows, "text", schema, run)
-        out = one if out is None else out.unionByName(one)
-    return out
 
+def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _place(h, int(len(sieve)).bit_length() - 1 + 6)
+    return (sieve[at >> 6] >> (at & 63).astype(U)) & U(1) == 1
+
+
+def _sieve(prints: DataFrame) -> Broadcast:
+    """The broadcast bitmap of fingerprints ``h``; at most 2^23 words reach the driver, however many there are."""
+    n = prints.count()
+    bits = min(SIEVE, max(12, (32 * n).bit_length()))
+    at = F.shiftrightunsigned("h", 64 - bits)
+    found = prints.groupBy(F.shiftrightunsigned(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), U)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy().view(U)
+    return prints.sparkSession.sparkContext.broadcast(out)
+
+
+def _tests(bench: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Staged (item, item_id, words, prints) of the test items, and their fingerprints (item, h)."""
+    rows = bench.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    items = stage(_prints(rows, "item_id").withColumn("item", F.expr("uuid()")), "test_items")
+    return items, items.select("item", F.explode("prints").alias("h"))
+
+
+def _hits(some: DataFrame, items: DataFrame, prints: DataFrame, key: str) -> DataFrame:
+    """(key, item_id, doc_start, item_start, n_words) of the spans of staged ``some`` (row, key, words, prints)."""
+    pairs = some.select("row", F.explode("prints").alias("h")).join(prints, "h").select("row", "item").distinct()
+    sides = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").join(some.select("row", key, "words"), "row")
+    long = T.LongType()
+    schema = T.StructType([T.StructField(key, id_type(some, key)), T.StructField("item_id", id_type(items, "item_id")), *(T.StructField(c, long) for c in ("doc_start", "item_start", "n_words"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests: dict[bytes, TestSet] = {}
+        for batch in batches:
+            found = []
+            for i, (doc, item) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if item not in tests:
+                    if len(tests) >= 1000:
+                        tests.clear()
+                    w = np.frombuffer(item, U)
+                    tests[item] = test_set(w, np.array([0, len(w)]))
+                w = np.frombuffer(doc, U)
+                found += [(i, *x[2:]) for x in spans(w, np.array([0, len(w)]), tests[item])]
+            if found:
+                row, *rest = (pa.array(x, pa.int64()) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *rest], schema.names)
+
+    return sides.select(key, "item_id", "words", "item_words").mapInArrow(run, schema)
+
+
+def contaminated_spans(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, doc_start, item_start, n_words): each maximal span of at least ``LEAST`` words that a document shares with an item."""
+    items, prints = _tests(bench, item_id, item_text)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # Keys are written with the rows, so that a task run anew can't give other ones.
+    some = stage(_prints(rows, "doc_id", _sieve(prints)).withColumn("row", F.expr("uuid()")), "suspects")
+    return _hits(some, items, prints, "doc_id")
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = 32 << 20) -> DataFrame:
-    """``docs`` without those that share a span with a test item. Rows are judged where they lie: nothing shuffles."""
-    for part in _parts(bench, item_id, item_text, most):
-        docs = docs.where(_clean(part)(F.col(text)))
-    return docs
 
+def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without those that share a span with a test item. Rows that miss the sieve pass where they lie."""
+    items, prints = _tests(bench, item_id, item_text)
+    sieve = _sieve(prints)
 
-def _clean(part: Broadcast) -> Callable[[Column], Column]:
     @F.arrow_udf(T.BooleanType())
-    def clean(column: pa.Array) -> pa.Array:
-        out = np.ones(len(column), bool)
-        done = 0
+    def suspect(column: pa.Array) -> pa.Array:
+        out, done = np.zeros(len(column), bool), 0
         for batch in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
-            out[[done + x[0] for x in spans(batch.column(0), part.value)]] = False
+            w = words(batch.column(0))
+            at, h = fingerprints(w.hash, w.offsets)
+            hit = at[_passes(sieve.value, h)]
+            out[done + np.unique(doc_of(w.offsets)[hit])] = True
             done += batch.num_rows
         return pa.array(out)
 
-    return clean
+    (row,) = fresh(docs, "suspect_row")
+    marked = docs.withColumn(row, F.when(suspect(F.col(text)), F.lit(True)).otherwise(F.lit(False)))
+    some = stage(marked.where(row).withColumn(row, F.expr("uuid()")), "suspects")
+    hashed = stage(_prints(some.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), "doc_id", sieve).withColumn("row", F.col("doc_id")), "suspect_words")
+    bad = _hits(hashed, items, prints, "doc_id").select(F.col("doc_id").alias(row)).distinct()
+    return marked.where(~F.col(row)).select(*docs.columns).unionByName(some.join(bad, row, "left_anti").select(*docs.columns))

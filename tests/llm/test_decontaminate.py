@@ -47,11 +47,12 @@ def case():
     return docs, items
 
 
-@pytest.mark.parametrize("most", [32 << 20, 60])
-def test_spans_as_by_brute_force(spark, docs_of, case, most):
+@pytest.mark.parametrize("sieve", [29, 12])
+def test_spans_as_by_brute_force(spark, docs_of, case, sieve, monkeypatch):
+    monkeypatch.setattr(d, "SIEVE", sieve)
     docs, items = case
     bench = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
-    found = sorted((tuple(r) for r in d.contaminated_spans(docs_of(docs), bench, most=most).collect()), key=repr)
+    found = sorted((tuple(r) for r in d.contaminated_spans(docs_of(docs), bench).collect()), key=repr)
     want = brute([(i, t and t.replace(",", "")) for i, t in docs], items)
     assert len(want) > 10
     assert found == want
@@ -91,3 +92,32 @@ def test_long_text(spark, docs_of):
     bench = spark.createDataFrame([(1, " ".join(map(str, range(30))))], "item_id long, text string")
     text = "filler words " * 300_000 + " ".join(map(str, range(10, 30)))
     assert [tuple(r) for r in d.contaminated_spans(docs_of([(1, text)]), bench).collect()] == [(1, 1, 600_000, 10, 20)]
+
+
+def test_every_shared_span_has_one_at_the_same_place():
+    rng = random.Random(10)
+    for _ in range(200):
+        shared = [rng.choice("ab") for _ in range(d.LEAST)]  # many ties
+        pads, found = [], []
+        for _ in range(2):
+            pad = [rng.choice("abc") for _ in range(rng.randrange(20))]
+            w = words(pa.array([" ".join(pad + shared + ["z"])]))
+            at, h = d.fingerprints(w.hash, w.offsets)
+            found.append({(int(a) - len(pad), int(x)) for a, x in zip(at, h) if 0 <= a - len(pad) <= d.LEAST - d.K})
+        assert found[0] & found[1]
+
+
+def test_repetitive_texts_cost_the_sum_of_their_lengths(spark, docs_of):
+    import time
+
+    for period in (1, 2, 7):
+        phrase = [f"w{i}" for i in range(period)]
+        text = lambda n: " ".join((phrase * n)[:n])  # noqa: E731, B023
+        a, b = words(pa.array([text(12_000)])), words(pa.array([text(1_500)]))
+        began = time.perf_counter()
+        found = d.spans(a.hash, a.offsets, d.test_set(b.hash, b.offsets))
+        assert time.perf_counter() - began < 5
+        assert len(found) == len({(x[2], x[3]) for x in found})
+        small = brute([(0, text(60))], [(0, text(40))])
+        a, b = words(pa.array([text(60)])), words(pa.array([text(40)]))
+        assert sorted(d.spans(a.hash, a.offsets, d.test_set(b.hash, b.offsets))) == sorted(small)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -9,6 +11,7 @@ from compare import differences, duck
 
 import corpus_pipeline
 from corvane.llm import bpe, decontaminate, near_dedup, quality, queries
+from corvane.llm.words import WORD_SEPARATOR
 
 NAMES = [f.__name__ for f in queries.queries().values()]
 
@@ -29,6 +32,10 @@ def test_a_row_for_each_row(spark, tiny, name, table, key):
     assert sorted(r[0] for r in queries.queries()[name](spark, tiny).select(key).collect()) == ids
 
 
+def plain_words(text):
+    return [w for w in re.split(WORD_SEPARATOR.replace("x{a0}", "xa0").replace("x{bf}", "xbf").replace("x{", "u").replace("}", ""), (text or "").lower()) if w]
+
+
 def least(pairs, items):
     root = {i: i for i in items}
     changed = True
@@ -72,9 +79,9 @@ def test_pipeline_as_by_brute_force(spark, tiny):
     rows = [(i, t) for i, t in rows if t is None or first[t] == i]
     root = near_brute(rows)
     rows = [(i, t) for i, t in rows if root[i] == i]
-    items = [" ".join(b.text.lower().split()) for b in bench.collect()]
-    tests = decontaminate.test_set(list(range(len(items))), pa.array(items))
-    rows = [(i, t) for i, t in rows if not decontaminate.spans(pa.array([t]), tests)]
+    items = [b.text for b in bench.collect()]
+    tests = {tuple(w[i : i + decontaminate.LEAST]) for w in map(plain_words, items) for i in range(len(w) - decontaminate.LEAST + 1)}
+    rows = [(i, t) for i, t in rows if not any(tuple((w := plain_words(t))[j : j + decontaminate.LEAST]) in tests for j in range(len(plain_words(t)) - decontaminate.LEAST + 1))]
     with open(bpe.VOCABULARY, "rb") as f:
         coder = bpe.encoding(f.read())
     found = {r.doc_id: r.tokens for r in corpus_pipeline.run(spark, tiny).collect()}
