@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.shared import fresh, id_type, map_text, slices, stage
-from corvane.llm.words import U, doc_of, gram_starts, grams, words
+from corvane.llm.words import U, doc_of, gram_starts, grams, mix, words
 
 K, WINDOW = 8, 6
 LEAST = K + WINDOW - 1
-#: The sieve has up to 2^29 bits (64 MB), 32 for each fingerprint while that suffices.
-SIEVE = 29
+#: The sieve has up to 2^29 bits (64 MB), 64 for each fingerprint while that suffices.
+SIEVE, PROBES = 29, 4
 _GAP = U(15)  # low bits of a fingerprint's key say how far back the text has the same one
 
 
@@ -158,21 +158,41 @@ def _prints(rows: DataFrame, key: str, sieve: Broadcast | None = None) -> DataFr
     return map_text(rows.where("text is not null").select(key, "text"), "text", schema, run)
 
 
-def _place(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> U(64 - bits)).astype(np.int64)
+def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The sieve's bits for each fingerprint; the high bits are the first, the next are a hash."""
+    yield (h >> U(64 - bits)).astype(np.int64)
+    a = mix(h)
+    for i in range(1, PROBES):
+        yield ((a >> U(7 * i)) & U((1 << bits) - 1)).astype(np.int64)
 
 
 def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _place(h, int(len(sieve)).bit_length() - 1 + 6)
-    return (sieve[at >> 6] >> (at & 63).astype(U)) & U(1) == 1
+    """Which fingerprints may be in the sieve; each probe looks only at what the ones before let through."""
+    bits = len(sieve).bit_length() - 1 + 6
+    left = np.arange(len(h))
+    at = h >> U(64 - bits)
+    for i in range(PROBES):
+        if i:
+            at = (mix(h[left]) >> U(7 * i)) & U((1 << bits) - 1)
+        left = left[(sieve[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1]
+    out = np.zeros(len(h), bool)
+    out[left] = True
+    return out
 
 
 def _sieve(prints: DataFrame) -> Broadcast:
     """The broadcast bitmap of fingerprints ``h``; at most 2^23 words reach the driver, however many there are."""
-    n = prints.count()
-    bits = min(SIEVE, max(12, (32 * n).bit_length()))
-    at = F.shiftrightunsigned("h", 64 - bits)
-    found = prints.groupBy(F.shiftrightunsigned(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("mask")).toArrow()
+    bits = min(SIEVE, max(20, (64 * prints.count()).bit_length()))
+    long = T.LongType()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(U)
+            at = np.unique(np.concatenate(list(_places(h, bits))))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((U(1) << (at & 63).astype(U)).view(np.int64))], ["word", "mask"])
+
+    masks = prints.select("h").mapInArrow(run, T.StructType([T.StructField("word", long), T.StructField("mask", long)]))
+    found = masks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(1 << (bits - 6), U)
     out[found.column(0).to_numpy()] = found.column(1).to_numpy().view(U)
     return prints.sparkSession.sparkContext.broadcast(out)

@@ -47,7 +47,7 @@ def case():
     return docs, items
 
 
-@pytest.mark.parametrize("sieve", [29, 12])
+@pytest.mark.parametrize("sieve", [29, 8])
 def test_spans_as_by_brute_force(spark, docs_of, case, sieve, monkeypatch):
     monkeypatch.setattr(d, "SIEVE", sieve)
     docs, items = case
