@@ -66,3 +66,30 @@ def test_long_chain_and_empty(spark):
     df = spark.createDataFrame([(1, t, "user", "x" * (100_000 if t == 3 else 1)) for t in range(12)], "conv_id long, turn long, role string, text string")
     assert reply_trees.conversations(df).first().n_messages == 12
     assert reply_trees.conversations(df.where("false")).count() == 0
+
+
+def test_replies_by_message_id(spark):
+    """Of two answers to one question each has its own follow-up; ids needn't be in order."""
+    rows = [(1, "q", None, 0, "user", "question", 1.0), (1, "a1", "q", 1, "assistant", "first", 1.0), (1, "a2", "q", 1, "assistant", "second", 3.0), (1, "f1", "a1", 2, "user", "to first", 1.0), (1, "f2", "a2", 2, "user", "to second", 1.0)]
+    rows += [(2, "x", "x", 0, "user", "itself", None), (2, "y", "gone", 1, "user", "orphan", None), (2, "c1", "c2", 2, "user", "cycle a", None), (2, "c2", "c1", 3, "user", "cycle b", None), (2, "c2", "c1", 3, "user", "cycle b", None)]
+    df = spark.createDataFrame(rows, "conv_id long, id string, up string, turn long, role string, text string, points double")
+    got = [(r.conv_id, r.branch, r.score, [x.split("\n")[1] for x in r.text.split("<|")[1:] if "|>" in x and not x.startswith("end")]) for r in reply_trees.conversations(df, 9, "up", "points", "id").collect()]
+    assert sorted(got)[:2] == [(1, 1, 5.0, ["question", "second", "to second"]), (1, 2, 3.0, ["question", "first", "to first"])]
+    assert sorted(x[3] for x in got if x[0] == 2) == [["cycle a", "cycle b"], ["itself"], ["orphan"]]
+
+
+@pytest.mark.parametrize("doublings", [1, 2, 6])
+def test_deep_trees_with_short_stretches(spark, doublings):
+    rng = random.Random(doublings)
+    nodes = [(c, n, None if n == 1 else n - 1 if c == 0 or rng.random() < 0.8 else rng.randrange(1, n)) for c, size in ((0, 75), (1, 40), (2, 1)) for n in range(1, size + 1)]
+    df = reply_trees.stage(spark.createDataFrame(nodes, "conv_id long, node long, parent long"), "nodes")
+    found = sorted((r.conv_id, r.leaf, list(r.path)) for r in reply_trees.paths(df, doublings).collect())
+    up = {(c, n): p for c, n, p in nodes}
+    want = []
+    for c, n, _ in nodes:
+        if (c, n) not in {(x, p) for x, _, p in nodes}:
+            path = [n]
+            while up[c, path[0]]:
+                path.insert(0, up[c, path[0]])
+            want.append((c, n, path))
+    assert found == sorted(want)
