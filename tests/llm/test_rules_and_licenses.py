@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+from urllib.parse import urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,63 +16,90 @@ from corvane.llm import license_scan, url_rules
 def test_items(spark):
     rows = [("https://User@Shop.Example.com:80/Buy-now/42?ref=x&q#top",), ("",), (None,), ("mailto",)]
     got = [r[0] for r in spark.createDataFrame(rows, "url string").select(url_rules.items(F.col("url"))).collect()]
-    assert got[0] == sorted(["s:https", "d:shop.example.com", "h:shop", "h:example", "h:com", "p:buy", "p:now", "q:ref", "q:q"])
+    assert got[0] == sorted(["s:https", "d:shop.example.com", "h:shop", "h:example", "h:com", "p:buy", "p:now", "p:42", "q:ref", "q:q"])
     assert got[1] == [] and got[2] == []
 
 
+def plain_items(url):
+    """Items of the simple URLs of these tests."""
+    u = urlsplit(url)
+    return frozenset([f"s:{u.scheme}", f"d:{u.netloc}", *(f"h:{x}" for x in u.netloc.split(".")), *(f"p:{x}" for x in u.path.split("/") if x)])
+
+
+def brute_rules(baskets):
+    """Every rule by counting every item set."""
+    total, wrong = len(baskets), sum(b for _, b in baskets)
+    counts = {}
+    for s, b in baskets:
+        for n in range(1, len(s) + 1):
+            for c in itertools.combinations(sorted(s), n):
+                x = counts.setdefault(c, [0, 0])
+                x[0] += 1
+                x[1] += b
+    least, z = max(url_rules.SUPPORT * total, url_rules.LEAST), 1.64
+    passing = {}
+    for s, (n, b) in counts.items():
+        p = b / n
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if b >= least and n < total and p >= url_rules.CONFIDENCE and low > wrong / total:
+            passing[s] = p
+    parts = lambda s: (c for n in range(1, len(s)) for c in itertools.combinations(s, n))
+    everywhere = {s[0] for s, (n, _) in counts.items() if len(s) == 1 and n == total}
+    return sorted((s, counts[s][1], p) for s, p in passing.items() if not everywhere & set(s) and not any(passing.get(c, -1) >= p for c in parts(s)))
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(3)
     rows, labels = [], []
-    for i in range(400):
-        host, words = rng.choice(["a", "b", "c"]), rng.sample(["win", "cash", "news", "blog", "cat", "dog"], 2)
+    for i in range(500):
+        host, words = rng.choice(["a", "b", "c"]), rng.sample(["win", "cash", "news", "blog", "cat", "dog", "7"], 3)
+        bad = host == "a" and "cash" in words or "win" in words and rng.random() < 0.9 or {"7", "news", "dog"} <= set(words) and host == "b" and rng.random() < 0.8 or rng.random() < 0.02
+        if rng.random() < 0.08:
+            words, bad = ["only", "together", *words], rng.random() < 0.7
         rows.append((i, f"http://{host}.org/{'/'.join(words)}"))
-        bad = host == "a" and "cash" in words or "win" in words and rng.random() < 0.9 or rng.random() < 0.02
         labels.append((i, int(not bad), 0))
     labels += [(None, 0, 0), (5, None, None), (10_000, 0, 1)]
-    extra = [(1000, None), (1001, ""), (None, "http://a.org/cash/dog"), (0, rows[0][1])]
+    extra = [(1000, None), (1001, ""), (None, "http://a.org/cash/dog"), (0, rows[0][1]), (1002, "http://b.org/" + "/".join(f"x{i}" for i in range(20_000)) + "/win")]
     return spark.createDataFrame([(*r, "z") for r in rows + extra], "page_id long, url string, hit string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows + extra, labels
 
 
-def test_rules_as_by_counting_all_sets(spark, labelled):
+@pytest.mark.parametrize(("most", "width"), [(100_000, 16), (0, 5), (100_000, 2)])
+def test_rules_as_by_counting_all_sets(spark, labelled, most, width, monkeypatch):
+    monkeypatch.setattr(url_rules, "WIDTH", width)
     pages, labels, rows, marks = labelled
-    rules = url_rules.mine(pages, labels)
+    found = url_rules.mine(pages, labels)
     bad = {}
     for i, q, t in marks:
         if i is not None and not (q is None and t is None):
             bad[i] = max(bad.get(i, 0), int(q == 0 or t == 1))
-    sets = {r.page_id: r.x for r in pages.where("page_id is not null").select("page_id", url_rules.items(F.col("url")).alias("x")).collect()}
-    baskets = [(frozenset(sets[i]), bad[i]) for i, u in rows if i in bad and u]
-    total, wrong = len(baskets), sum(b for _, b in baskets)
-    counts = {}
-    for s, b in baskets:
-        for n in (1, 2, 3):
-            for c in itertools.combinations(sorted(s), n):
-                x = counts.setdefault(frozenset(c), [0, 0])
-                x[0] += 1
-                x[1] += b
-    least = max(url_rules.SUPPORT * total, url_rules.LEAST)
-    everywhere = {x for x in counts if len(x) == 1 and counts[x][0] == total}
-    some = [(s, n, b) for s, (n, b) in counts.items() if b >= least and not any(e <= s for e in everywhere)]
-    assert rules and sorted(rules) == sorted(url_rules.prune(some, url_rules.CONFIDENCE, wrong / total))
-    out = {(r.page_id, r.url): r for r in url_rules.judge(pages, rules).collect()}
-    for (i, u), r in out.items():
-        fitting = [x for x in rules if u and set(x[0]) <= set(sets.get(i) or url_items(spark, u))]
+    rules = sorted(url_rules.listed(found))
+    want = brute_rules([(plain_items(u), bad[i]) for i, u in rows if i in bad and u])
+    assert rules == want and max(len(r[0]) for r in rules) >= 3
+    out = {(r.page_id, r.url): r for r in url_rules.judge(pages, found, most=most).collect()}
+    assert len(out) == len({x for x in rows})
+    for (_, u), r in out.items():
+        fitting = sorted((-c, -b, len(s), s) for s, b, c in rules if u and set(s) <= plain_items(u))
         assert r.rejected == bool(fitting)
-        assert r.confidence == (max(x[2] for x in fitting) if fitting else None)
-    assert not out[1000, None].rejected and not out[1001, ""].rejected and out[None, "http://a.org/cash/dog"].rejected
+        assert (r.confidence, r.rule) == ((-fitting[0][0], " ".join(fitting[0][3])) if fitting else (None, None))
+    assert not out[1000, None].rejected and not out[1001, ""].rejected and out[None, "http://a.org/cash/dog"].rejected and out[rows[-1]].rejected
 
 
-def url_items(spark, u):
-    return spark.createDataFrame([(u,)], "u string").select(url_rules.items(F.col("u"))).first()[0]
+def test_long_urls_of_many_copies_are_mined_in_time(spark):
+    url = "http://long.example/" + "/".join(f"w{i}" for i in range(200))
+    rows = [(i, url) for i in range(40)] + [(i, f"http://other.example/w{i}/x") for i in range(40, 120)]
+    labels = [(i, int(i % 4 == 0), 0) for i in range(40)] + [(i, 1, 0) for i in range(40, 120)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r[2] for r in url_rules.listed(rules)} == {30 / 40, 30 / 41}  # of all its items, and of each that another page has
 
 
-def test_no_labels_no_rules(labelled):
+def test_no_labels_no_rules(spark, labelled):
     pages, labels, *_ = labelled
-    assert url_rules.mine(pages, labels.where("false")) == []
-    assert url_rules.mine(pages.where("false"), labels) == []
-    assert url_rules.judge(pages, []).where("rejected").count() == 0
-    assert url_rules.judge(pages.where("false"), []).count() == 0
+    none = spark.createDataFrame([], url_rules._RULES)
+    assert url_rules.mine(pages, labels.where("false")).count() == 0
+    assert url_rules.mine(pages.where("false"), labels).count() == 0
+    assert url_rules.judge(pages, none).where("rejected").count() == 0
+    assert url_rules.judge(pages.where("false"), none).count() == 0
 
 
 def test_notices(docs_of):
