@@ -21,6 +21,8 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +51,10 @@ BLOCKS = frozenset("address article aside blockquote body dd details div dl dt f
 _KINDS = {t: i for i, ts in enumerate(("p", "h1 h2 h3 h4 h5 h6", "li dd dt", "a", "div section", "ul ol dl", "table tr td th tbody thead", "nav footer aside header menu", "form button label fieldset", "head title meta", "blockquote pre code", "b i em strong span u small"), 1) for t in ts.split()}
 _TEXT, _MARKS = 14, frozenset(("article", "main"))
 _CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_GOOD = frozenset("article content post body entry main text story blog prose".split())
-_BAD = frozenset("ad ads advert banner breadcrumb comment comments cookie footer foot header menu meta nav navbar pager pagination promo related share sidebar social sponsor subscribe tags widget".split())
 
-FEATURES = 28
+#: Attribute tokens (words of class, id and role) are hashed into so many buckets.
+BUCKETS = 32
+FEATURES = 24 + BUCKETS
 
 
 @dataclass
@@ -63,27 +65,30 @@ class Nodes:
     parent: list[int] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
     end: list[int] = field(default_factory=list)
-    good: list[int] = field(default_factory=list)
-    bad: list[int] = field(default_factory=list)
+    token_node: list[int] = field(default_factory=list)
+    token: list[int] = field(default_factory=list)
     mark: list[bool] = field(default_factory=list)
     block: list[int] = field(default_factory=list)
     text: list[str | None] = field(default_factory=list)
 
 
+@lru_cache(1 << 14)
+def bucket(token: str) -> int:
+    return crc32(token.encode()) % BUCKETS
+
+
 def parse(page: str, to: Nodes) -> None:
     """Adds a page's nodes, the first of them a root without a tag."""
     root = len(to.kind)
     stack, names = [root], [""]
     opened: dict[str, int] = {}
 
-    def add(kind: int, good: int, bad: int, mark: bool, block: int, text: str | None) -> int:
+    def add(kind: int, mark: bool, block: int, text: str | None) -> int:
         i = len(to.kind)
         to.kind.append(kind)
         to.parent.append(stack[-1] if i > root else -1)
         to.depth.append(len(stack) if i > root else 0)
         to.end.append(i + 1)
-        to.good.append(good)
-        to.bad.append(bad)
         to.mark.append(mark)
         to.block.append(block)
         to.text.append(text)
@@ -98,7 +103,7 @@ def parse(page: str, to: Nodes) -> None:
             breaks[0] += 1
 
     breaks = [0]
-    add(0, 0, 0, False, root, None)
+    add(0, False, root, None)
     for m in _TOKEN.finditer(page):
         which = m.lastgroup
         if which == "text":
@@ -106,7 +111,7 @@ def parse(page: str, to: Nodes) -> None:
             if not t.isspace():
                 if "&" in t:
                     t = html.unescape(t)
-                add(_TEXT, 0, 0, False, breaks[0], _SPACE.sub(" ", t))
+                add(_TEXT, False, breaks[0], _SPACE.sub(" ", t))
         elif which == "attributes":
             name, attributes = m["tag"].lower(), m["attributes"]
             if name == "br":
@@ -114,13 +119,12 @@ def parse(page: str, to: Nodes) -> None:
             for other in _CLOSES.get(name, ("p",) if name in BLOCKS else ()):
                 if names[-1] == other:
                     pop()
-            good = bad = 0
+            i = add(_KINDS.get(name, 13), name in _MARKS, 0, None)
             if attributes:
                 for a in _NAMES.finditer(attributes):
                     for token in _TOKENS.findall((a[1] or a[2] or a[3] or "").lower()):
-                        good += token in _GOOD
-                        bad += token in _BAD
-            i = add(_KINDS.get(name, 13), good, bad, name in _MARKS, 0, None)
+                        to.token_node.append(i)
+                        to.token.append(bucket(token))
             if name in VOID or attributes.endswith("/"):
                 continue
             stack.append(i)
@@ -168,7 +172,6 @@ def node_features(nodes: Nodes) -> np.ndarray:
     length, words, marks = below(chars), below(spaces) + 1, below(stops)
     tags = below((kind != _TEXT).astype(float))
     linked = below(np.where(covered(kind == 4) > 0, chars, 0.0))
-    good, bad = np.array(nodes.good, float), np.array(nodes.bad, float)
     inner = parent >= 0
     children = np.bincount(parent[inner], minlength=n).astype(float)
     order = np.lexsort((here, parent))
@@ -184,9 +187,14 @@ def node_features(nodes: Nodes) -> np.ndarray:
     columns = [
         kind, kind[up], kind[up[up]], depth, log(length), log(words), length / words, marks / words, log(tags), length / (tags + 1), linked / np.maximum(length, 1), length / total,
         children, at, children[up], at / np.maximum(children[up], 1), log(before), log(after), log(length[up]), length / np.maximum(length[up], 1), linked[up] / np.maximum(length[up], 1), length[up] / (tags[up] + 1),
-        good, bad, covered(bad > 0), covered(good > 0), covered(np.isin(kind, (8, 9))), (here - root[page]) / np.maximum(end[root][page] - root[page], 1),
+        covered(np.isin(kind, (8, 9))), (here - root[page]) / np.maximum(end[root][page] - root[page], 1),
     ]
-    return np.stack([np.asarray(c, float) for c in columns], 1)
+    # Whether a node or one around it has a token of each bucket.
+    change = np.zeros((n + 1, BUCKETS), np.int32)
+    owner, token = np.array(nodes.token_node, np.int64), np.array(nodes.token, np.int64)
+    np.add.at(change, (owner, token), 1)
+    np.add.at(change, (end[owner], token), -1)
+    return np.concatenate([np.stack([np.asarray(c, float) for c in columns], 1), np.cumsum(change, 0, dtype=np.int32)[:n] > 0], 1)
 
 
 def marked(nodes: Nodes) -> np.ndarray:

@@ -87,7 +87,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": """
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id, count(*) OVER (PARTITION BY text) AS copies
-            FROM documents""",
+            FROM documents WHERE text IS NOT NULL
+            UNION ALL SELECT doc_id, doc_id, 1 FROM documents WHERE text IS NULL""",
         # Without a parent column a message answers the first one of the latest earlier turn.
         "op5_chat_formatting": """
             WITH RECURSIVE m AS (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 
@@ -36,6 +39,7 @@ def test_held_out_pages(pages, forest):
 def test_held_out_over_the_table(spark, tiny):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     x, y, page = h.node_sample(pages)
+    assert x.shape[1] == h.FEATURES
     train = page % 3 > 0
     assert ((fit(x[train], y[train], trees=40).probability(x[~train]) > 0.5) == y[~train]).mean() > 0.97
 
@@ -83,3 +87,83 @@ def test_without_marked_pages_all_text_stays(spark):
 def test_forest_without_trees_scores_the_prior():
     f = fit(np.zeros((0, 3)), np.zeros(0))
     assert isinstance(f, Forest) and f.probability(np.zeros((2, 3))).tolist() == [0.5, 0.5]
+
+
+class Walk(HTMLParser):
+    """Pages as nested lists [tag, attributes, children], for pages whose tags are all closed."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack = [["", "", []]]
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, " ".join(v for k, v in attrs if k in ("class", "id", "role")), []]
+        self.stack[-1][2].append(node)
+        if tag not in h.VOID:
+            self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if data.strip() and self.stack[-1][0] not in ("script", "style"):
+            self.stack[-1][2].append(re.sub(r"\s+", " ", data))
+
+
+def flat(node, depth=0, parent=-1, around=frozenset(), link=False):
+    """Nodes in document order, with what the features say, each by itself."""
+    if isinstance(node, str):
+        return [{"chars": len(node), "text": node, "depth": depth, "parent": parent, "tokens": around, "linked": len(node) * link, "tags": 0, "size": 1}]
+    around = around | {h.bucket(t) for t in re.findall("[a-z]+", node[1].lower())}
+    me = {"text": None, "depth": depth, "parent": parent, "tokens": around}
+    out = [me]
+    for child in node[2]:
+        out += [{**x, "parent": x["parent"] + len(out) if x["parent"] >= 0 else 0} for x in flat(child, depth + 1, -1, around, link or node[0] == "a")]
+    kids = [x for x in out[1:] if x["parent"] == 0]
+    me |= {"chars": sum(x["chars"] for x in kids), "linked": sum(x["linked"] for x in kids), "tags": 1 + sum(x["tags"] for x in kids), "size": len(out), "children": len(kids)}
+    return out
+
+
+def plain_decode(nodes, margin):
+    """The kept nodes, by recursion over the tree."""
+    kids = {i: [j for j, x in enumerate(nodes) if x["parent"] == i] for i in range(len(nodes))}
+    value = {}
+    for i in reversed(range(len(nodes))):
+        value[i] = margin[i] + sum(max(0.0, value[j]) for j in kids[i])
+    keep = set()
+    for i, x in enumerate(nodes):
+        if value[i] >= 0 and (x["parent"] < 0 or x["parent"] in keep):
+            keep.add(i)
+    return keep
+
+
+def test_query_as_by_recursion(pages, forest):
+    """Tree, features and decoding of whole pages by another parser and plain recursion."""
+    for r in h.extract(pages, forest).join(pages.select("page_id", "html"), "page_id").collect():
+        nodes = h.Nodes()
+        h.parse(r.html, nodes)
+        walk = Walk()
+        walk.feed(r.html)
+        plain = flat(walk.stack[0])
+        for i, x in enumerate(plain):
+            x["parent"] = -1 if i == 0 else x["parent"]
+        got = h.node_features(nodes)
+        texts = [t for t in nodes.text if t]
+        assert texts == [x["text"] for x in plain if x["text"]]
+        leaves = [i for i, t in enumerate(nodes.text) if t]
+        for i, x in zip(leaves, (x for x in plain if x["text"])):
+            assert got[i, 3] == x["depth"] and got[i, 4] == np.log1p(x["chars"]) and got[i, 10] == (x["linked"] > 0)
+            assert {b for b in range(h.BUCKETS) if got[i, 24 + b]} == set(x["tokens"])
+        tree = [{"parent": p} for p in nodes.parent]
+        keep = plain_decode(tree, forest.margin(got))
+        assert (r.kept, r.nodes) == (len(keep), len(tree))
+        assert "".join(r.text.split()) == "".join("".join(nodes.text[i].split()) for i in sorted(keep) if nodes.text[i])
+        for i in range(len(tree)):
+            below = [j for j in range(len(tree)) if _under(tree, j, i)]
+            assert got[i, 4] == np.log1p(sum(len(nodes.text[j] or "") for j in below)) and got[i, 12] == sum(tree[j]["parent"] == i for j in below)
+
+
+def _under(tree, j, i):
+    while j >= 0 and j != i:
+        j = tree[j]["parent"]
+    return j == i

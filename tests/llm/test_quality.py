@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+import string
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
@@ -67,3 +72,44 @@ def test_sample_bound(docs_of, spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
     x, y = quality.labelled_features(docs, labels, "doc_id", "text", "quality", 20)
     assert x.shape == (20, len(quality.FEATURES)) and len(y) == 20
+
+
+def plain_features(text):
+    """The features of one text, each by its definition."""
+    out = dict.fromkeys(quality.FEATURES, 0.0)
+    raw = (text or "").encode()
+    if not raw:
+        return out
+    share = lambda test: sum(map(test, raw)) / len(raw)
+    among = lambda chars: share(lambda b: b < 128 and chr(b) in chars)
+    kinds = {"letters": string.ascii_letters, "upper": string.ascii_uppercase, "digits": string.digits, "spaces": " \t\r", "newlines": "\n", "stops": ".?;:", "commas": ",", "bangs": "!", "symbols": "#$%&*+=^~@<>\\/_", "bars": "|", "quotes": "\"'`()[]{}", "other_punct": "-"}
+    out |= {k: among(v) for k, v in kinds.items()} | {"high": share(lambda b: b >= 128), "log_bytes": math.log1p(len(raw))}
+    out["entropy"] = -sum(n / len(raw) * math.log(n / len(raw)) for n in Counter(raw).values())
+    w = [x for x in re.split("[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\xa0-\xbf\u2000-\u207f\u3000-\u303f]+", text.lower()) if x]
+    out["log_words"] = math.log1p(len(w))
+    if w:
+        size = [len(x.encode()) for x in w]
+        out |= {"word_length": np.mean(size), "word_length_sd": np.std(size), "long_words": np.mean([n > 12 for n in size]), "distinct": len(set(w)) / len(w), "top_word": max(Counter(w).values()) / len(w)}
+        pairs = list(zip(w, w[1:]))
+        out |= {"echoes": sum(a == b for a, b in pairs) / len(w), "distinct_pairs": len(set(pairs)) / max(len(pairs), 1)}
+    return out
+
+
+def test_query_by_brute_force(spark, tiny):
+    """Every score over the table, from plain features and a walk down each tree."""
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality.train(docs, labels)
+    got = {r.doc_id: (r.score, r.keep) for r in quality.score(docs, forest).collect()}
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(rows)
+    batch = quality.features(pa.array(list(rows.values())))
+    for (i, text), found in zip(rows.items(), batch):
+        x = list(plain_features(text).values())
+        assert np.allclose(x, found, atol=1e-9), (i, dict(zip(quality.FEATURES, zip(x, found))))
+        total = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + bool(found[feature[at]] > threshold[at])
+            total += leaf[at - len(feature)]
+        assert np.isclose(got[i][0], 1 / (1 + math.exp(-total))) and got[i][1] == (got[i][0] >= quality.THRESHOLD)

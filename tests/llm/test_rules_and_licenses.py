@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 from urllib.parse import urlsplit
 
 import pytest
@@ -128,3 +129,36 @@ def test_exact_notices_over_the_table(spark, tiny):
 def test_short_templates_are_refused():
     with pytest.raises(ValueError, match="words"):
         license_scan._template_words([("X", "two words")])
+
+
+def common(a, b):
+    """The longest common subsequence of two lists of words."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], max(row[j + 1], row[j], last + (x == y))
+    return row[-1]
+
+
+def test_spans_by_brute_force(spark, docs_of):
+    """Every verbatim template is found where it stands, and every span has the words that it is said to have."""
+    rng = random.Random(12)
+    split = lambda t: [w for w in re.split(r"[^0-9a-z\u0080-\uffff]+", t.lower()) if w]
+    filler = lambda n: ["".join(rng.choices("abcdefg", k=6)) for _ in range(n)]
+    rows = []
+    for i, (_, text) in enumerate(license_scan.TEMPLATES):
+        rows.append((i, " ".join([*filler(rng.randrange(20)), text, *filler(5)])))
+        words = text.split()
+        rows.append((100 + i, " ".join([*filler(3), *(w for w in words if rng.random() > 0.05), *filler(3)])))
+        rows.append((200 + i, " ".join([*filler(3), *words[: len(words) // 3], *filler(3)])))
+    found = license_scan.scan(docs_of(rows, False)).collect()
+    texts = dict(rows)
+    for r in found:
+        span = split(texts[r.doc_id])[r.start : r.start + r.n_words]
+        assert max(common(span, split(t)) / len(split(t)) for n, t in license_scan.TEMPLATES if n == r.license) >= r.share - 1e-9
+        assert r.share >= license_scan.LEAST_SHARE or common(span, max((split(t) for n, t in license_scan.TEMPLATES if n == r.license), key=len)) >= license_scan.LEAST_WORDS
+    for i, (name, text) in enumerate(license_scan.TEMPLATES):
+        start = next(p for p in range(20) if split(texts[i])[p : p + len(split(text))] == split(text))
+        mine = [r for r in found if r.doc_id == i]
+        assert any(r.start <= start and r.start + r.n_words >= start + len(split(text)) and (r.license.split("-")[0] == name.split("-")[0]) for r in mine), (name, text[:40], mine)
