@@ -84,9 +84,10 @@ _KEYWORD = r"token|secret|api[_-]?key|access[_-]?key|client[_-]?secret|password|
 
 #: Whether a text can hold anything at all; one pass of a linear-time matcher. Its \b, \d and (?i) know fewer characters
 #: than those of ``_ENTITY``, so it has digits of any script, both Turkish i, and what follows a title in place of \b.
-_HINT = rf"[\pN@]|(?i:[s\x{{17f}}]ecret|pa[s\x{{17f}}]{{2}}w|pwd|to[k\x{{212a}}]en|(?:ap[iıİ]|acce[s\x{{17f}}]{{2}}).?[k\x{{212a}}]ey|bearer)|eyJ|gh[pousr]_|github_pat|xox|AKIA|ASIA|AIza|_live_|PRIVATE|(?:{_TITLE})\.?[ ][{_UPPER}]|(?:{_PHRASE})[ ]|[{_UPPER}][\pL\pN\pM_’'-]*[ ][{_UPPER}]|先生|女士|小姐|さん|様|氏|씨|我叫|名前は|이름은|::"
+_HINT = rf"[\pN@]|(?i:[s\x{{17f}}]ecret|pa[s\x{{17f}}]{{2}}w|pwd|to[k\x{{212a}}]en|(?:ap[iıİ]|acce[s\x{{17f}}]{{2}}).?[k\x{{212a}}]ey|bearer)|eyJ|gh[pousr]_|github_pat|xox|AKIA|ASIA|AIza|_live_|PRIVATE|(?:{_TITLE})\.?[ ][{_UPPER}]|(?:{_PHRASE})[ ]|(?i:{"|".join(sorted(_FIRST))})[ ](?:[{_UPPER}]\.[ ])?[{_UPPER}]|先生|女士|小姐|さん|様|氏|씨|我叫|名前は|이름은|::"
 _ENTITY = re.compile(
-    rf"""(?P<email>(?<![\w.%+-])[\w.%+-]{{1,64}}@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
+    rf"""(?:(?<!\w)|(?=[\W\d一-鿿가-힣]))(?:  # nothing starts inside of a word
+    (?P<email>(?<![\w.%+-])[\w.%+-]{{1,64}}@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
     |(?P<key>(?<![\w-])(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{{20,}}|github_pat_[0-9A-Za-z_]{{22,}}|xox[abprs]-[0-9A-Za-z-]{{10,}}|AIza[0-9A-Za-z_-]{{35}}|[sr]k_live_[0-9A-Za-z]{{16,}}))
     |(?P<jwt>(?<![\w-])eyJ[\w-]{{8,}}\.[\w-]{{8,}}\.[\w-]*)
     |(?:-----BEGIN[ ][A-Z ]*PRIVATE[ ]KEY-----\s)(?P<block>[A-Za-z0-9+/=\s]{{16,}})(?=-----END)
@@ -103,7 +104,7 @@ _ENTITY = re.compile(
     |(?P<said>(?:{_PHRASE.replace(" ", "[ ]")})[ ](?P<given2>{_OTHER})(?:[ ](?:[{_UPPER}]\.[ ])?(?P<family2>{_OTHER}))?)
     |(?P<pair>\b(?P<given3>{_NAME})[ ](?:[{_UPPER}]\.[ ])?(?P<family3>{_OTHER}))
     |(?:我叫|姓名：|姓名:)(?P<han1>[{_HAN}][一-鿿]{{1,2}}?(?=[，。、,. ]|$)|[{_HAN}][一-鿿]{{1,2}})|(?P<han2>[{_HAN}][一-鿿]{{1,2}})(?=先生|女士|小姐)|(?P<han3>(?<![一-鿿])[一-鿿]{{2,4}})(?=さん|様|氏)|名前は(?P<han4>[一-鿿]{{2,4}})
-    |(?:이름은[ ])(?P<hangul1>[{_HANGUL}][가-힣]{{2}})|(?P<hangul2>(?<![가-힣])[{_HANGUL}][가-힣]{{1,2}})(?=[ ]?씨)""",
+    |(?:이름은[ ])(?P<hangul1>[{_HANGUL}][가-힣]{{2}})|(?P<hangul2>(?<![가-힣])[{_HANGUL}][가-힣]{{1,2}})(?=[ ]?씨))""",
     re.X,
 )
 _KINDS = {"dialled": "phone", "bearer": "secret", "block": "secret", **{f"han{i}": "east" for i in range(1, 5)}, "hangul1": "east", "hangul2": "east"}
