@@ -12,6 +12,9 @@ STOP_WORDS = sorted("a an and are as at be but by for if in into is it no not of
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 STRIP = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 ALPHANUM = r"^[0-9]*[a-z][\-.0-9:_a-z]+$"
+#: Splitting at ``SPACE``, ``STRIP`` and ``ALPHANUM`` in one match over the whole text.
+_PUNCTUATION, _SPACES = r"[!-/:-@\[-`{-~]", SPACE[1:-2]
+TOKEN = rf"(?<![^{_SPACES}]){_PUNCTUATION}*+([0-9]*+[a-z](?:[\-.0-9:_a-z]*[0-9a-z]))(?={_PUNCTUATION}*+(?:[{_SPACES}]|$))"
 
 
 def _without(tokens: Column, stopwords: bool | list[str]) -> Column:
@@ -31,8 +34,8 @@ def alphanum(text: Column, stopwords: bool | list[str] = True) -> Column:
     A null text gives null.
     """
     words = STOP_WORDS if stopwords is True else stopwords or []
-    stripped = F.transform(F.split(F.lower(text), SPACE), lambda x: F.regexp_replace(x, STRIP, ""))
-    return F.filter(stripped, lambda x: x.rlike(ALPHANUM) & ~x.isin(words) if words else x.rlike(ALPHANUM))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
+    return F.filter(tokens, lambda x: ~x.isin(words)) if words else tokens
 
 
 def pattern(text: Column, regexp: str, lowercase: bool = True, stopwords: bool | list[str] = False) -> Column:

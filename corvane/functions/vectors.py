@@ -1,4 +1,4 @@
-"""Vectors: norms, inner products, quantisation, the default encoder."""
+"""Vectors: norms, inner products, pooling, quantisation, the default encoder. Null vectors give null."""
 
 from __future__ import annotations
 
@@ -34,20 +34,49 @@ def truncate(v: Column, dimensions: int) -> Column:
 def quantise(v: Column, bits: int) -> Column:
     """Scalar quantisation to 1-8 bits, packed into bytes from the high bit on."""
 
-    @F.pandas_udf(T.BinaryType())
-    def run(s: pd.Series) -> pd.Series:
-        if not len(s):
-            return pd.Series([], dtype=object)
-        x = np.stack(s.to_numpy()).astype(np.float64)
+    def pack(x: np.ndarray) -> list[bytes]:
         half = 2 ** (bits - 1)
         level = (np.clip(x * half, -half, half - 1) + half).astype(np.uint8)
         planes = np.unpackbits(level[:, :, None], axis=2)[:, :, 8 - bits :]
-        packed = np.packbits(planes.reshape(len(x), -1), axis=1)
-        return pd.Series([row.tobytes() for row in packed])
+        return [row.tobytes() for row in np.packbits(planes.reshape(len(x), -1), axis=1)]
+
+    @F.pandas_udf(T.BinaryType())
+    def run(s: pd.Series) -> pd.Series:
+        return _by_length(s, pack)
 
     return run(v)
 
 
+def _by_length(s: pd.Series, f: Callable[[np.ndarray], list]) -> pd.Series:
+    """``f`` over the vectors of each length, as one matrix; null for null."""
+    out = pd.Series([None] * len(s), dtype=object)
+    lengths = s.map(lambda v: -1 if v is None else len(v)).to_numpy() if len(s) else np.zeros(0)
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        for i, x in zip(at, f(np.stack(s.iloc[at].to_numpy()).astype(float))):
+            out[i] = x
+    return out
+
+
+def pool(tokens: Column, how: str = "mean", weights: Column | None = None) -> Column:
+    """One vector of a token matrix: ``mean``, ``weighted`` (mean by ``weights``), ``max``, ``cls`` (the first) or ``last``.
+
+    Null for a null matrix, and for one without rows. All in built-in functions.
+    """
+    first = lambda: F.when(F.size(tokens) > 0, F.get(tokens, F.lit(0)))
+    if how in ("cls", "last"):
+        return first() if how == "cls" else F.when(F.size(tokens) > 0, F.element_at(tokens, -1))
+    if how == "max":
+        return F.when(F.size(tokens) > 0, F.aggregate(tokens, first(), lambda s, x: F.zip_with(s, x, lambda a, b: F.greatest(a, b))))
+    if how not in ("mean", "weighted"):
+        raise ValueError(f"unknown pooling: {how}")
+    w = weights if how == "weighted" else F.transform(tokens, lambda x: F.lit(1.0))
+    total = F.aggregate(w, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    scaled = F.zip_with(tokens, w, lambda v, a: F.transform(v, lambda x: x.cast("double") * a))
+    zero = F.transform(first(), lambda x: F.lit(0.0))
+    return F.when(F.size(tokens) > 0, F.transform(F.aggregate(scaled, zero, lambda s, x: F.zip_with(s, x, lambda a, b: a + b)), lambda x: x / total))
+
+
 def sign_words(v: Column, size: int) -> Column:
     """One bit for each dimension (set where it isn't negative), as longs of 32 bits, all in built-ins."""
     words = []
@@ -123,12 +152,14 @@ def principal_axes(rows: DataFrame, vector: str, n: int) -> tuple[np.ndarray, np
 def remove_axes(v: Column, axes: np.ndarray) -> Column:
     """``v`` less its parts along ``axes`` (which don't depend on their signs), at length 1."""
 
-    @F.pandas_udf(_DOUBLES)
-    def run(s: pd.Series) -> pd.Series:
-        x = np.stack(s.to_numpy()).astype(float) if len(s) else np.empty((0, axes.shape[1]))
+    def less(x: np.ndarray) -> list[np.ndarray]:
         x = x - x @ axes.T @ axes
         norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return pd.Series(list(np.divide(x, norm, out=x, where=norm > 0)))
+        return list(np.divide(x, norm, out=x, where=norm > 0))
+
+    @F.pandas_udf(_DOUBLES)
+    def run(s: pd.Series) -> pd.Series:
+        return _by_length(s, less)
 
     return run(v)
 
@@ -144,11 +175,15 @@ def muvera(v: Column, dimensions: int, repetitions: int = 20, hashes: int = 5, p
     def run(s: pd.Series) -> pd.Series:
         out = []
         for tokens in s:
+            if tokens is None or not len(tokens):
+                out.append(None)
+                continue
             x = np.stack([np.asarray(t, float) for t in tokens])
             parts = []
             for r in range(repetitions):
                 bits = (x @ planes[r] > 0).astype(int)
                 cell = bits @ (1 << np.arange(hashes))
+                cell ^= cell >> 1  # neighbouring cells differ in one bit
                 sums = np.zeros((1 << hashes, dimensions))
                 np.add.at(sums, cell, x)
                 if not query:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.tokenize import alphanum
+from corvane.sources.scratch import balanced, stage
 
 Tokenizer = Callable[[Column], Column]
 
@@ -36,35 +37,83 @@ def sif(a: float = 1e-3) -> Method:
 METHODS: dict[str, Callable[..., Method]] = {"bm25": bm25, "tfidf": tfidf, "sif": sif}
 
 
+def _pattern(term: str) -> str:
+    """A term with ``*`` as a pattern of LIKE."""
+    return term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%")
+
+
 @dataclass
 class Terms:
-    """A terms index: ``tokens`` (indexid, tokens) is read by all else, so it is what one stores or persists."""
+    """A terms index over ``tokens`` (indexid, tokens).
+
+    ``stored`` holds it once it is built: postings (term, indexid, dl, tf) in
+    order of term, term counts (term, df, cf) and totals. Without it every
+    search splits the texts anew, once. Defined results: rows of null text
+    aren't part of the index, empty texts count as documents without words; of
+    an empty table all sums are 0 and no query finds anything.
+    """
 
-    tokens: DataFrame
+    tokens: DataFrame | None
     method: Method = field(default_factory=bm25)
     deleted: DataFrame | None = None
+    stored: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
     def of(cls, docs: DataFrame, indexid: str, text: str, method: Method | None = None, tokenizer: Tokenizer = alphanum) -> Terms:
         """The index of a table; rows with a null text aren't part of it."""
-        rows = docs.where(F.col(text).isNotNull()).select(F.col(indexid).alias("indexid"), tokenizer(F.col(text)).alias("tokens"))
-        return cls(rows, method or bm25())
+        rows = balanced(docs.where(F.col(text).isNotNull()).select(F.col(indexid).alias("indexid"), F.col(text).alias("text")))
+        return cls(rows.select("indexid", tokenizer(F.col("text")).alias("tokens")), method or bm25())
+
+    def build(self, path: str | None = None) -> Terms:
+        """The index with its tables written, under ``path`` or as scratch tables; postings are sorted by term, so a search reads little of them."""
+        if self.stored and path is None:
+            return self
+        spark = self.spark
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            if path is None:
+                return stage(df, name)
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        posted = self.postings()
+        posted = write(posted.repartitionByRange("term").sortWithinPartitions("term", "indexid"), "postings")
+        counts = write(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "terms")
+        return replace(self, stored={"postings": posted, "terms": counts, "stats": write(self.stats(), "stats")})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, method: Method | None = None) -> Terms:
+        return cls(None, method or bm25(), stored={n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "stats")})
+
+    @property
+    def spark(self) -> SparkSession:
+        return (self.tokens if self.tokens is not None else self.stored["postings"]).sparkSession
 
     def stats(self) -> DataFrame:
         """One row: total, tokens, avgdl (over all that was indexed; deleting doesn't change it)."""
+        if self.stored:
+            return self.stored["stats"]
         n = F.size("tokens").cast("long")
         return self.tokens.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("tokens")).withColumn("avgdl", F.col("tokens") / F.nullif(F.col("total"), F.lit(0)))
 
-    def postings(self, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-        """(term, indexid, dl, tf); ``keep`` drops terms before anything is counted."""
-        tokens = F.filter("tokens", keep) if keep else F.col("tokens")
-        rows = self.tokens.select("indexid", F.size("tokens").alias("dl"), F.explode(tokens).alias("term"))
+    def postings(self) -> DataFrame:
+        """(term, indexid, dl, tf)."""
+        if self.stored:
+            return self.stored["postings"]
+        rows = self.tokens.select("indexid", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         return rows.groupBy("term", "indexid", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
-    def terms(self, postings: DataFrame | None = None) -> DataFrame:
+    def _scored(self, counts: DataFrame, stats: DataFrame) -> DataFrame:
+        idf = self.method.idf(F.col("total"), F.col("df"), F.col("cf"), F.col("tokens")).alias("idf")
+        return counts.crossJoin(F.broadcast(stats)).select("term", "df", "cf", idf, "total", "avgdl")
+
+    def terms(self) -> DataFrame:
         """(term, df, cf, idf)."""
-        df = (postings if postings is not None else self.postings()).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        return df.crossJoin(F.broadcast(self.stats())).select("term", "df", "cf", self.method.idf(F.col("total"), F.col("df"), F.col("cf"), F.col("tokens")).alias("idf"), "total", "avgdl")
+        if self.stored:
+            counts = self.stored["terms"]
+        else:
+            counts = self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        return self._scored(counts, self.stats())
 
     def corpus(self) -> DataFrame:
         """One row with all corpus statistics, ``avgfreq``, ``avgidf`` and the average score among them."""
@@ -72,10 +121,22 @@ class Terms:
         freq = F.col("tokens") / F.col("words")
         return one.withColumn("avgfreq", freq).withColumn("avgscore", self.method.weight(freq, F.col("avgidf"), F.col("avgdl"), F.col("avgdl")))
 
-    def query_terms(self, queries: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-        """(qid, term, n) of queries (qid, query)."""
-        rows = queries.select("qid", F.explode(tokenizer(F.col("query"))).alias("term"))
-        return rows.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("n"))
+    def _matched(self, exact: list[str], likes: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(postings, term counts with idf) of the terms that queries ask for."""
+
+        def keep(x: Column) -> Column:
+            out = x.isin(exact)
+            for p in likes:
+                out = out | x.like(p)
+            return out
+
+        if self.stored:
+            return self.stored["postings"].where(keep(F.col("term"))), self._scored(self.stored["terms"].where(keep(F.col("term"))), self.stats())
+        # One pass over the texts leaves the length of each document and the words that some query has.
+        rows = stage(self.tokens.select("indexid", F.size("tokens").alias("dl"), F.filter("tokens", keep).alias("kept")), "matched_words")
+        stats = rows.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens")).withColumn("avgdl", F.col("tokens") / F.nullif(F.col("total"), F.lit(0)))
+        postings = rows.select("indexid", "dl", F.explode("kept").alias("term")).groupBy("term", "indexid", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        return postings, self._scored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), stats)
 
     def search(self, queries: list[str], k: int | None, tokenizer: Tokenizer = alphanum, cutoff: float | None = None) -> DataFrame:
         """(qid, indexid, score): the best ``k`` documents for each query, greatest score first, then least indexid.
@@ -85,25 +146,20 @@ class Terms:
         reach a shuffle. With ``cutoff``, terms in more than that share of the
         documents don't find documents by themselves unless no other term does.
         """
-        spark = self.tokens.sparkSession
+        spark = self.spark
         rows = spark.createDataFrame(list(enumerate(queries)), "qid int, query string")
         star = lambda q: F.filter(F.split(F.lower(q), r"\s+"), lambda x: x.contains("*"))
         plain = lambda q: tokenizer(F.regexp_replace(q, r"\S*\*\S*", " "))
-        asked = [(r["qid"], t) for r in rows.select("qid", plain(F.col("query")).alias("t")).collect() for t in r["t"] or []]
-        wild = [(r["qid"], t) for r in rows.select("qid", star(F.col("query")).alias("t")).collect() for t in r["t"] or []]
-        exact = sorted({t for _, t in asked})
-        likes = sorted({t.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%") for _, t in wild})
-
-        def keep(x: Column) -> Column:
-            out = x.isin(exact)
-            for p in likes:
-                out = out | x.like(p)
-            return out
-
-        postings = self.postings(keep)
-        found = self.terms(postings)
-        wanted = spark.createDataFrame([(q, t, False) for q, t in asked] + [(q, t.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%"), True) for q, t in wild], "qid int, pattern string, wild boolean")
-        names = found.join(F.broadcast(wanted), F.when(F.col("wild"), F.expr("term like pattern")).otherwise(F.col("term") == F.col("pattern")))
+        words = rows.select("qid", plain(F.col("query")).alias("plain"), star(F.col("query")).alias("star")).collect()
+        asked = [(r["qid"], t) for r in words for t in r["plain"] or []]
+        wild = [(r["qid"], _pattern(t)) for r in words for t in r["star"] or []]
+        likes = sorted({p for _, p in wild})
+        postings, found = self._matched(sorted({t for _, t in asked}), likes)
+        # As many rows as the queries have words: exact terms by an equi-join, patterns against the distinct terms only.
+        names = found.join(F.broadcast(spark.createDataFrame(asked, "qid int, term string")), "term").select("qid", *found.columns)
+        if likes:
+            patterns = F.broadcast(spark.createDataFrame(wild, "qid int, pattern string"))
+            names = names.unionByName(found.join(patterns, F.expr("term like pattern")).select("qid", *found.columns))
         weights = names.groupBy("qid", "term", "df", "cf", "idf", "total", "avgdl").agg(F.count(F.lit(1)).alias("n"))
         # Without wildcards there are as many as the queries have words; a wildcard may stand for any number.
         hits = postings.join(weights if likes else F.broadcast(weights), "term")
@@ -113,8 +169,8 @@ class Terms:
         rare = F.col("df") <= F.lit(cutoff) * F.col("total") if cutoff is not None else F.lit(True)
         sums = hits.groupBy("qid", "indexid").agg(F.sum(score).alias("score"), F.max(rare.cast("int")).alias("rare"))
         if cutoff is not None:
-            any_rare = F.max("rare").over(Window.partitionBy("qid"))
-            sums = sums.withColumn("any", any_rare).where("rare = any").drop("any")
+            any_rare = sums.groupBy("qid").agg(F.max("rare").alias("any"))
+            sums = sums.join(F.broadcast(any_rare), "qid").where("rare = any")  # a row for each query
         return top(sums.select("qid", "indexid", "score"), k)
 
     def weights(self, tag_counts: DataFrame | None = None) -> DataFrame:

@@ -48,23 +48,9 @@ def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).pagerank(10).select("indexid", r6("rank").alias("rank"))
 
 
-def _label_sql(rounds: int) -> str:
-    out = [f"WITH {_EDGES}", "l0 AS MATERIALIZED (SELECT indexid, indexid AS label FROM n)"]
-    for i in range(rounds):
-        out.append(f"""l{i + 1} AS MATERIALIZED (WITH v AS (SELECT src, label, sum(weight) AS w FROM b JOIN l{i} ON dst = indexid GROUP BY ALL),
-            t AS (SELECT src, label AS new FROM v QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, label) = 1)
-            SELECT indexid, coalesce(new, label) AS label FROM l{i} LEFT JOIN t ON src = indexid)""")
-    return ", ".join(out) + f" SELECT indexid, label FROM l{rounds}"
-
-
-@query(_label_sql(3))
-def graph_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph(spark, sf_dir).labels(3)
-
-
 @query()
-def graph_label_propagation_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label propagation to its end, which SQL of a fixed number of rounds can't say; held against brute force in the tests."""
+def graph_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label propagation to its end, which SQL of a fixed number of rounds can't say; tests/test_graph.py holds it against brute force."""
     return graph(spark, sf_dir).labels()
 
 

@@ -148,13 +148,13 @@ def similarity_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
-    q AS (SELECT b AS qb FROM b ORDER BY vec_id LIMIT 1),
-    s AS (SELECT vec_id, 1 - list_sum(list_transform(range(1, 65), lambda i: CASE WHEN b[i] <> qb[i] THEN 1 ELSE 0 END))::double / 64 AS score FROM b, q)
-    SELECT vec_id, round(score, 6) AS score FROM s""")
+    w AS (SELECT vec_id, list_sum([b[i + 1]::bigint << i FOR i IN range(0, 32)]) AS lo, list_sum([b[i + 33]::bigint << i FOR i IN range(0, 32)]) AS hi FROM b),
+    s AS (SELECT q.vec_id AS qid, w.vec_id, 1 - (bit_count(xor(q.lo::bigint, w.lo::bigint)) + bit_count(xor(q.hi::bigint, w.hi::bigint)))::double / 64 AS score FROM w, w AS q WHERE q.vec_id <> w.vec_id)
+    SELECT qid, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) <= 5""")
 def hamming_1bit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir).select("indexid", V.sign_words(F.col("vector"), 64).alias("b"))
-    first = rows.orderBy("indexid").limit(1).select(F.col("b").alias("q"))
-    return rows.crossJoin(F.broadcast(first)).select(F.col("indexid").alias("vec_id"), r6(V.hamming(F.col("b"), F.col("q"), 64)).alias("score"))
+    """The five rows whose sign bits are nearest to those of every row."""
+    rows = corpus(spark, sf_dir).select("indexid", V.sign_words(F.col("vector"), 64).alias("vector"))
+    return _vec(dense.search(rows, rows.withColumnRenamed("indexid", "qid"), 5, loops=False, measure=dense.hamming(64)))
 
 
 @query("""
@@ -165,39 +165,40 @@ def quantize_8bit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT vec_id, embedding[1:32]::double[] AS v FROM embeddings)
-    SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS x1, round(v[32] / sqrt(list_inner_product(v, v)), 6) AS x32 FROM n""")
+    SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS vector FROM n""")
 def truncate_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = V.normalise(V.truncate(F.col("vector"), 32))
-    return corpus(spark, sf_dir).select(F.col("indexid").alias("vec_id"), v.alias("v")).select("vec_id", r6(F.col("v")[0]).alias("x1"), r6(F.col("v")[31]).alias("x32"))
+    return corpus(spark, sf_dir).select(F.col("indexid").alias("vec_id"), v.alias("v")).select("vec_id", F.transform("v", r6).alias("vector"))
 
 
 @query()
 def pca_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors without their main axis; held against numpy in the tests."""
+    """Vectors without their main axis; tests/test_vectors.py holds it against numpy."""
     rows = corpus(spark, sf_dir)
     _, axes = V.principal_axes(rows, "vector", 1)
     return rows.select(F.col("indexid").alias("vec_id"), V.remove_axes(F.col("vector"), axes).alias("vector"))
 
 
 @query("""WITH f AS (SELECT vec_id, i AS dim, embedding[i]::double AS x FROM embeddings, range(1, 65) AS r(i)),
-    c AS (SELECT vec_id, dim, x FROM f WHERE x > 0.1::double), q AS (SELECT vec_id AS qid, dim, x AS q FROM c)
+    c AS (SELECT vec_id, dim, x FROM f WHERE x > 0), q AS (SELECT vec_id AS qid, dim, x AS q FROM c)
     SELECT qid, vec_id, round(score, 6) AS score FROM (SELECT qid, vec_id, sum(x * q) AS score FROM c JOIN q USING (dim) GROUP BY qid, vec_id)
     QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) <= 3""")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive parts of all vectors as sparse ones, each a query too."""
-    rows = corpus(spark, sf_dir).select("indexid", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double")).where("value > 0.1")
+    rows = corpus(spark, sf_dir).select("indexid", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double")).where("value > 0")
     return _vec(dense.sparse_search(rows, rows.withColumnRenamed("indexid", "qid"), 3))
 
 
-@query("""WITH m AS (SELECT vec_id, [embedding[1:16]::double[], embedding[17:32]::double[], embedding[33:48]::double[], embedding[49:64]::double[]] AS t FROM embeddings),
-    q AS (SELECT t AS q FROM m ORDER BY vec_id LIMIT 1)
-    SELECT vec_id, round(list_avg(list_transform(q, lambda a: list_max(list_transform(t, lambda b: list_inner_product(a, b))))), 6) AS score FROM m, q""")
+@query("""WITH m AS (SELECT vec_id, embedding[1:16]::double[] AS a, embedding[17:32]::double[] AS b, embedding[33:48]::double[] AS c, embedding[49:64]::double[] AS d FROM embeddings),
+    t AS (SELECT vec_id, unnest([a, b, c, d]) AS v FROM m),
+    x AS (SELECT m.vec_id, t.vec_id AS qid, greatest(list_inner_product(t.v, m.a), list_inner_product(t.v, m.b), list_inner_product(t.v, m.c), list_inner_product(t.v, m.d)) AS best FROM t, m WHERE t.vec_id <> m.vec_id),
+    s AS (SELECT qid, vec_id, sum(best) / 4 AS score FROM x GROUP BY qid, vec_id)
+    SELECT qid, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) <= 3""")
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four quarters of a vector as token vectors."""
+    """Four quarters of a vector as token vectors; the three best rows for every row."""
     parts = F.array(*(F.slice("vector", i, 16) for i in (1, 17, 33, 49)))
-    rows = corpus(spark, sf_dir).select(F.col("indexid").alias("vec_id"), parts.alias("document"))
-    first = rows.orderBy("vec_id").limit(1).select(F.col("document").alias("query"))
-    return rows.crossJoin(F.broadcast(first)).select("vec_id", r6(dense.max_sim()).alias("score"))
+    rows = corpus(spark, sf_dir).select("indexid", parts.alias("vector"))
+    return _vec(dense.search(rows, rows.withColumnRenamed("indexid", "qid"), 3, loops=False, measure=dense.MAX_SIM))
 
 
 # Fusion: documents and vectors meet in doc_id = vec_id
@@ -294,6 +295,6 @@ def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def explain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of short texts, what each token adds; held against brute force in the tests."""
+    """Of short texts, what each token adds; tests/test_vectors.py holds it against leaving out each token."""
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("indexid"), "text")
     return retrieval.explain(rows, "the of and", V.hashing_encoder()).select("indexid", "pos", "token", r6("score").alias("score"))

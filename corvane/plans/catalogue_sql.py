@@ -46,12 +46,12 @@ def sql_json_groupby(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(events(spark, sf_dir), "select text as kind, count(*) as n, round(total(value), 6) as total, round(avg(props.k), 6) as k from events group by text")
 
 
-@query("SELECT event_id::varchar AS id, user_id::varchar AS \"nest[0].ab c\" FROM events WHERE user_id = 3")
+@query("SELECT event_id::varchar AS id, user_id AS \"nest[0].ab c\" FROM events WHERE user_id = 3")
 def sql_bracket_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(events(spark, sf_dir), "select id, [nest[0].ab c] from events where [nest[0].ab c] = 3")
 
 
-@query("SELECT user_id::varchar AS u, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 60")
+@query("SELECT user_id AS u, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 60")
 def sql_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(events(spark, sf_dir), "select user_id as u, count(*) as n from events group by user_id having count(*) > 60")
 
@@ -68,12 +68,12 @@ def sql_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id::varchar AS id, round(value, 6) AS v FROM events ORDER BY value DESC, event_id::varchar LIMIT 10 OFFSET 5")
 def sql_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(events(spark, sf_dir, types={"value": "double"}), "select id, round(value, 6) as v from events order by value desc, id limit 10 offset 5")
+    return run(events(spark, sf_dir), "select id, round(value, 6) as v from events order by value desc, id limit 10 offset 5")
 
 
 @query(f"SELECT event_id::varchar AS id FROM events WHERE {_K} = 10 AND event_type = 'click'")
 def sql_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(events(spark, sf_dir, types={"props.k": "double"}), "select id from events where props.k = :k and text = :t", k=10, t="click")
+    return run(events(spark, sf_dir), "select id from events where props.k = :k and text = :t", k=10, t="click")
 
 
 @query("SELECT event_type AS text, count(*) AS n FROM events WHERE event_type LIKE '%i%' AND event_type NOT LIKE 'v%' GROUP BY event_type")
@@ -110,6 +110,31 @@ def sql_unknown_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(events(spark, sf_dir), "select count(*) as n, count(nothing.here) as missing from events")
 
 
+@query(f"SELECT min(user_id) AS a, max(user_id) AS z, min({_K}::bigint) AS least, max({_K}::bigint) AS most, max(value) AS top, min(event_type) AS kind FROM events")
+def sql_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of paths, by the types that they have in the documents: 100 is more than 9."""
+    return run(events(spark, sf_dir), "select min(user_id) as a, max(user_id) as z, min(props.k) as least, max(props.k) as most, max(value) as top, min(text) as kind from events")
+
+
+@query("SELECT event_id::varchar AS id, user_id AS u FROM events WHERE user_id > event_id OR value < user_id ORDER BY user_id DESC, event_id LIMIT 200")
+def sql_compare_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths compared with each other and with a text column as numbers, and ordered as numbers."""
+    return run(events(spark, sf_dir), "select id, user_id as u from events where user_id > id or value < user_id order by user_id desc, indexid limit 200")
+
+
+@query("SELECT event_type AS kind, row_number() OVER (ORDER BY event_id) - 1 AS indexid, event_id::varchar AS id, event_type AS text, NULL::varchar AS tags, NULL::double AS score FROM events")
+def sql_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns beside an item; what changes from run to run or has no SQL type is left out here."""
+    return run(events(spark, sf_dir), "select text as kind, * from events").drop("entry", "data", "object")
+
+
+@query("SELECT event_id::varchar AS id, strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d') AS day, strftime(date_trunc('month', ts) + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS month, strftime(ts, '%H:%M') AS clock FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-15'")
+def sql_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("text"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"))
+    index = Index.of(rows, "event_id", Settings(keyword=False), now=NOW)
+    return run(index, "select id, date(at, '-1 day') as day, datetime(at, 'start of month', '+90 minutes') as month, strftime('%H:%M', at) as clock from events where date(at) >= '2024-01-15' and date(at) < date('now', '+1 day')")
+
+
 _ONE = ["thtion ering"]
 _TWO = ["ouan eaon"]
 

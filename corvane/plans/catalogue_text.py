@@ -12,6 +12,7 @@ from corvane.operators.workflow import Task, Workflow, accepts
 from corvane.plans.registered import query, r6, table, tokens_sql
 from corvane.sources import tabular
 from corvane.sources.content import uuid5
+from corvane.sources.scratch import balanced
 from corvane.streaming import windows
 
 
@@ -38,12 +39,13 @@ def tokenize_regexp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("turn", "conv_id", F.size(tokenize.pattern(F.col("text"), "[a-z]{4,}")).cast("long").alias("n"))
 
 
-@query("""WITH w AS (SELECT p_partkey, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}\\p{M}_]+'), lambda x: x <> '')) AS w FROM part),
-    g AS (SELECT p_partkey, substring(w, i, n) AS gram FROM w, range(3, 5) AS a(n), range(1, 40) AS b(i) WHERE i + n - 1 <= length(w))
-    SELECT p_partkey, gram, count(*) AS n FROM g GROUP BY ALL""")
+@query("""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+'), lambda x: x <> '')) AS w FROM documents),
+    g AS (SELECT doc_id, unnest(list_transform(range(1, length(w) - n + 2), lambda i: substring(w, i, n))) AS gram FROM w, range(3, 5) AS a(n) WHERE length(w) >= n)
+    SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS kinds, min(gram) AS least, max(gram) AS greatest FROM g GROUP BY doc_id""")
 def tokenize_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(tokenize.ngrams(F.col("p_name"), 3, 4)).alias("gram"))
-    return rows.groupBy("p_partkey", "gram").agg(F.count(F.lit(1)).alias("n"))
+    """The character n-grams of every word of every document."""
+    rows = balanced(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", tokenize.ngrams(F.col("text"), 3, 4).alias("g")).where("size(g) > 0")
+    return rows.select("doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("kinds"), F.array_min("g").alias("least"), F.array_max("g").alias("greatest"))
 
 
 @query()

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -19,6 +20,7 @@ from corvane.operators.graph import Graph, canonical, knn_edges
 from corvane.plans import cypher
 from corvane.plans.dialect import SIMILAR, Clause, Query, Rewriter, SqlError, issql
 from corvane.sources.content import Columns, Content, numbered
+from corvane.sources.scratch import stage
 
 
 class IndexNotFoundError(KeyError):
@@ -47,7 +49,24 @@ class Settings:
     types: dict[str, str] = field(default_factory=dict)
     expressions: dict[str, str] = field(default_factory=dict)
     writable: bool = True
-    prefilter: bool = False
+    probes: int = 4
+
+
+#: Up to so many candidates a table of them is broadcast.
+_FEW = 200_000
+
+
+def _small(found: DataFrame, rows: int) -> DataFrame:
+    """A table of at most ``rows`` rows, broadcast where that is a bound."""
+    return F.broadcast(found) if rows <= _FEW else found
+
+
+def stored_settings(settings: Settings) -> dict[str, Any]:
+    return asdict(settings)
+
+
+def read_settings(stored: dict[str, Any]) -> Settings:
+    return Settings(**{**stored, "columns": Columns(**stored["columns"])})
 
 
 def other_text(sections: DataFrame, docs: DataFrame, id: str, column: str) -> DataFrame:
@@ -76,6 +95,8 @@ class Index:
     tokenizer: scoring.Tokenizer = alphanum
     given: bool = False
     axes: np.ndarray | None = None
+    cells: tuple[DataFrame, np.ndarray] | None = None
+    words: scoring.Terms | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -160,11 +181,11 @@ class Index:
         content = self.content.reindex()
         if function:
             content = replace(content, sections=function(content.sections))
-        out = replace(self, content=content, settings=settings or self.settings, graph=None, indexes={}, axes=None)
+        out = replace(self, content=content, settings=settings or self.settings, graph=None, indexes={}, axes=None, cells=None, words=None)
         moved = numbered(self.content.sections.select(F.col("indexid").alias("old")), "old")
         for name, part in self.indexes.items():
             sections = part.content.sections.withColumnRenamed("indexid", "old").join(moved, "old").select("indexid", "id", "text", "tags", "entry")
-            out.indexes[name] = replace(part, content=replace(content, sections=sections))
+            out.indexes[name] = replace(part, content=replace(content, sections=sections), cells=None, words=None)
             if part.vectors is not None:
                 out.indexes[name].vectors = part.encoded(sections)
         if self.given and self.vectors is not None:
@@ -177,51 +198,88 @@ class Index:
         """The views of the rows that ``content`` still has."""
         live = content.sections.select("indexid")
         keep = lambda t: None if t is None else t.join(live, "indexid", "left_semi")
-        out = replace(self, content=content, vectors=keep(self.vectors), indexes={})
+        out = replace(self, content=content, vectors=keep(self.vectors), indexes={}, cells=None, words=None)
         if self.graph is not None:
             out.graph = self.graph.without(self.graph.nodes.select("indexid").join(live, "indexid", "left_anti"))
         for name, part in self.indexes.items():
-            out.indexes[name] = replace(part, content=replace(part.content, sections=keep(part.content.sections)), vectors=keep(part.vectors))
+            out.indexes[name] = replace(part, content=replace(part.content, sections=keep(part.content.sections)), vectors=keep(part.vectors), cells=None, words=None)
         return out
 
     def count(self) -> int:
         return self.content.count()
 
     def save(self, path: str) -> None:
+        """All views under ``path``, subindexes and settings too; what is to be loaded is written last."""
         self.content.save(path)
         if self.vectors is not None:
             self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         if self.graph is not None:
             self.graph.save(f"{path}/graph")
-        names = {"vectors": self.vectors is not None, "graph": self.graph is not None, "given": self.given, "axes": None if self.axes is None else self.axes.tolist()}
+        if self.cells is not None:
+            self.cells[0].write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/cells")
+        if self.settings.keyword:
+            self.terms_index().build(f"{path}/terms")
+        for name, part in self.indexes.items():
+            part.save(f"{path}/indexes/{name}")
+        names = {
+            "vectors": self.vectors is not None, "graph": self.graph is not None, "given": self.given, "axes": None if self.axes is None else self.axes.tolist(), "settings": stored_settings(self.settings),
+            "indexes": list(self.indexes), "sources": self.sources, "centres": None if self.cells is None else self.cells[1].tolist(),
+        }
         self.spark.createDataFrame([(json.dumps(names),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/index")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, settings: Settings | None = None, encoder: Encoder | None = None) -> Index:
+    def load(cls, spark: SparkSession, path: str, settings: Settings | None = None, encoder: Encoder | None = None, tokenizer: scoring.Tokenizer = alphanum) -> Index:
+        """A saved index, with the settings that it was saved with unless others are given."""
         names = json.loads(spark.read.text(f"{path}/index").first()[0])
-        self = cls(Content.load(spark, path), settings or Settings(), encoder=encoder or hashing_encoder())
+        self = cls(Content.load(spark, path), settings or read_settings(names["settings"]), encoder=encoder or hashing_encoder(), tokenizer=tokenizer)
         self.vectors = spark.read.parquet(f"{path}/vectors") if names["vectors"] else None
         self.graph = Graph.load(spark, f"{path}/graph") if names["graph"] else None
         self.given, self.axes = names["given"], None if names["axes"] is None else np.array(names["axes"])
+        self.cells = None if names["centres"] is None else (spark.read.parquet(f"{path}/cells"), np.array(names["centres"]))
+        if self.settings.keyword and names["settings"]["keyword"]:
+            self.words = scoring.Terms.load(spark, f"{path}/terms", self._method())
+        self.indexes = {name: cls.load(spark, f"{path}/indexes/{name}", None, encoder, tokenizer) for name in names["indexes"]}
+        self.sources = names["sources"]
         return self
 
     # Search
 
+    def _method(self) -> scoring.Method:
+        return scoring.METHODS[self.settings.method](**self.settings.method_options)
+
     def terms_index(self) -> scoring.Terms:
-        return scoring.Terms.of(self.content.sections, "indexid", "text", scoring.METHODS[self.settings.method](**self.settings.method_options), self.tokenizer)
+        return self.words or scoring.Terms.of(self.content.sections, "indexid", "text", self._method(), self.tokenizer)
+
+    def built(self) -> Index:
+        """With the terms index written out, which pays from the second search on."""
+        self.words = self.terms_index().build()
+        return self
 
     def keyword(self, queries: list[str], k: int | None) -> DataFrame:
-        """(qid, indexid, score) by words."""
+        """(qid, indexid, score) by words. Normalising needs counts of all terms, so it builds the terms index."""
+        if self.settings.normalize is True:
+            self.built()
         terms = self.terms_index()
         found = terms.search(queries, k, self.tokenizer).where("score > 0")
         if self.settings.normalize is True:
             return scoring.normalise(found, terms.corpus().select("avgscore"))
         return scoring.bayes(found) if self.settings.normalize else found
 
+    def clustered(self, cells: int | None = None, probes: int | None = None) -> Index:
+        """With vectors in cells (about the square root of their number times four), of which a search reads ``probes`` (a 16th of them, four at least).
+
+        The centres are fitted to at most ``dense.SAMPLE`` vectors; every vector is in a cell.
+        """
+        n = cells or dense.cell_count(self.vectors.count())
+        return replace(self, cells=dense.clusters(self.vectors, n), settings=replace(self.settings, probes=probes or max(4, -(-n // 16))))
+
     def nearest(self, queries: list[str] | list[list[float]], k: int | None) -> DataFrame:
-        """(qid, indexid, score) by vectors; scores of 0 and less are left out."""
+        """(qid, indexid, score) by vectors; scores of 0 and less are left out. With cells it is approximate."""
         rows = self.transform(queries) if queries and isinstance(queries[0], str) else queries
-        return dense.search(self.vectors, dense.vectors(self.spark, rows), k).where("score > 0")
+        asked = dense.vectors(self.spark, rows)
+        if self.cells is not None and k is not None:
+            return dense.probe(*self.cells, asked, k, self.settings.probes).where("score > 0")
+        return dense.search(self.vectors, asked, k).where("score > 0")
 
     def candidates(self, queries: list[str], k: int, weights: float | None = None, index: str | None = None) -> DataFrame:
         """(qid, indexid, score) by what the index has: words, vectors, or both fused."""
@@ -247,7 +305,7 @@ class Index:
         if issql(query):
             return self.sql(query, limit, parameters, weights, index)
         found = self.candidates([query], limit, weights, index)
-        rows = self.content.sections.join(F.broadcast(found.select("indexid", "score")), "indexid")
+        rows = self.content.sections.join(_small(found.select("indexid", "score"), limit), "indexid")
         return rows.select("id", "text", "score").orderBy(F.desc("score"), "id")
 
     def batchsearch(self, queries: list[str], limit: int | None = None, weights: float | None = None) -> DataFrame:
@@ -257,24 +315,31 @@ class Index:
 
     def sql(self, query: str, limit: int | None = None, parameters: dict[str, Any] | None = None, weights: float | None = None, index: str | None = None) -> DataFrame:
         """A query of the dialect. ``limit`` holds only for queries without LIMIT; None returns all rows."""
-        q = Rewriter(self.settings.types, self.settings.expressions)(query)
+        q = Rewriter(self.settings.types, self.settings.expressions, self.content.typed, self.content.objects is not None)(query)
         spark = self.spark
         own = int(q.limit) if q.limit and q.limit.isdigit() else int((parameters or {})[q.limit[1:]]) if q.limit else limit
-        names = {n: f"v{uuid.uuid4().hex}" for n in "sdoc"}
+        names = {n: f"v{uuid.uuid4().hex}" for n in "sdocg"}
+        sections, documents, where, few = self.content.sections, self.content.documents, q.where, 0
         try:
-            self.content.sections.createOrReplaceTempView(names["s"])
-            self.content.documents.select("id", "data", F.try_parse_json("data").alias("v")).createOrReplaceTempView(names["d"])
             tables = f"{names['s']} s {'' if q.inner else 'LEFT '}JOIN {names['d']} d ON s.id = d.id"
-            where = q.where
+            if q.similar:
+                where, scores, few = self._similar(q, where, own or self.settings.limit, parameters or {}, weights, index)
+                _small(scores, few).createOrReplaceTempView(names["c"])
+                tables += f" LEFT JOIN {names['c']} c ON s.indexid = c.indexid"
+                if q.narrow:  # then JSON is parsed for candidates only
+                    sections = sections.join(_small(scores.select("indexid"), few), "indexid", "left_semi")
+                    documents = documents.join(_small(sections.select("id"), few), "id", "left_semi")
+            sections.createOrReplaceTempView(names["s"])
+            documents.select("id", "data", F.try_parse_json("data").alias("v")).createOrReplaceTempView(names["d"])
             if self.content.objects is not None:
                 self.content.objects.select("id", "object").createOrReplaceTempView(names["o"])
                 tables += f" LEFT JOIN {names['o']} o ON s.id = o.id"
-            if q.similar:
-                where, scores = self._similar(q, where, own or self.settings.limit, parameters or {}, weights, index)
-                scores.createOrReplaceTempView(names["c"])
-                tables += f" LEFT JOIN {names['c']} c ON s.indexid = c.indexid"
-            text = self._text(q, tables, where, limit)
-            return spark.sql(text, args=parameters or None)
+            if q.graph:
+                if self.graph is None:
+                    raise SqlError("there is no graph")
+                self.graph.nodes.createOrReplaceTempView(names["g"])
+                tables += f" LEFT JOIN {names['g']} g ON s.indexid = g.indexid"
+            return spark.sql(self._text(q, tables, where, limit), args=parameters or None)
         except SqlError:
             raise
         except Exception as e:
@@ -286,36 +351,31 @@ class Index:
                 spark.catalog.dropTempView(n)
 
     def _text(self, q: Query, tables: str, where: str | None, limit: int | None) -> str:
-        star = f"s.indexid, s.id, s.text, s.tags, s.entry, d.data, {'o.object' if self.content.objects is not None else 'CAST(NULL AS BINARY) AS object'}, {'c.score' if q.similar else 'CAST(NULL AS DOUBLE) AS score'}"
-        fix = lambda x: x if x is None or q.similar else x.replace("c.score", "CAST(NULL AS DOUBLE)")
-        if self.content.objects is None:
-            old = fix
-            fix = lambda x: None if x is None else old(x).replace("o.object", "CAST(NULL AS BINARY)")
-        select = ", ".join(star if x == "*" else x for x in [fix(q.select)]) if not q.star else fix(q.select).replace("*", star, 1) if q.select.startswith("*") else fix(q.select)
-        out = f"SELECT {select} FROM {tables}"
-        out += f" WHERE {fix(where)}" if where else ""
-        out += f" GROUP BY {fix(q.groupby)}" if q.groupby else ""
-        out += f" HAVING {fix(q.having)}" if q.having else ""
+        out = f"SELECT {q.select} FROM {tables}"
+        out += f" WHERE {where}" if where else ""
+        out += f" GROUP BY {q.groupby}" if q.groupby else ""
+        out += f" HAVING {q.having}" if q.having else ""
         if q.orderby:
-            out += f" ORDER BY {fix(q.orderby)}"
-        elif q.similar and not q.groupby and "score" in q.select:
-            out += " ORDER BY c.score DESC, s.indexid" if "distinct " not in q.select else ""
+            out += f" ORDER BY {q.orderby}"
+        elif q.similar and not q.groupby and re.search(r"\bc\.score\b", q.select) and not q.select.startswith("distinct "):
+            out += " ORDER BY c.score DESC, s.indexid"
         cut = q.limit or limit
         out += f" LIMIT {cut}" if cut else ""
         return out + (f" OFFSET {q.offset}" if q.offset and cut else "")
 
-    def _similar(self, q: Query, where: str, limit: int, parameters: dict[str, Any], weights: float | None, index: str | None) -> tuple[str, DataFrame]:
-        """The condition over candidate sets, and (indexid, clauses, score): the mean over the clauses that found a row."""
-        every = None
+    def _similar(self, q: Query, where: str, limit: int, parameters: dict[str, Any], weights: float | None, index: str | None) -> tuple[str, DataFrame, int]:
+        """The condition over candidate sets, staged (indexid, clauses, score) (the mean over the clauses that found a row), and a bound of its rows."""
+        every, bound = None, 0
         for i, c in enumerate(q.similar):
             c = Clause(str(parameters[c.query[1:]]) if c.query.startswith(":") else c.query, c.candidates, c.weights, c.index)
             many = c.candidates or (limit * 10 if q.filters > 1 else limit)
+            bound += many
             one = self.candidates([c.query], many, weights if c.weights is None else c.weights, c.index or index).select(F.lit(i).alias("clause"), "indexid", "score")
             every = one if every is None else every.unionByName(one)
         scores = every.groupBy("indexid").agg(F.collect_set("clause").alias("clauses"), F.avg("score").alias("score"))
         for i in reversed(range(len(q.similar))):
             where = where.replace(f"{SIMILAR}{i}", f"coalesce(array_contains(c.clauses, {i}), false)")
-        return where, scores
+        return where, stage(scores, "candidates"), bound
 
     def similarity(self, query: str, texts: list[str]) -> list[tuple[int, float]]:
         """All of ``texts`` ranked by their similarity to ``query``."""
@@ -327,7 +387,7 @@ class Index:
     def explain(self, query: str, limit: int | None = None) -> DataFrame:
         """What each token of the best rows for a query adds to the similarity."""
         found = self.candidates([query], limit or self.settings.limit)
-        rows = self.content.sections.join(F.broadcast(found.select("indexid")), "indexid").select("indexid", "text")
+        rows = self.content.sections.join(_small(found.select("indexid"), limit or self.settings.limit), "indexid").select("indexid", "text")
         return retrieval.explain(rows, query, self.encoder)
 
     def terms(self, query: str) -> list[str]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid as ids
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NAMESPACE = ids.NAMESPACE_DNS
 
@@ -21,16 +23,16 @@ def uuid5(value: Column) -> Column:
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), third, F.concat(F.lpad(high, 2, "0"), F.substring(digest, 19, 2)), F.substring(digest, 21, 12))
 
 
-def numbered(rows: DataFrame, *order: str, start: int = 0, name: str = "indexid") -> DataFrame:
-    """A dense number from ``start`` in the order of columns, without a single-partition sort.
+def numbered(rows: DataFrame, *order: str, start: int = 0, name: str = "indexid", ties: tuple[str, ...] = ()) -> DataFrame:
+    """A dense number from ``start`` in the order of columns (then of ``ties``), without a single-partition sort.
 
     Rows are range-partitioned and numbered inside each partition; the
-    partitions' sizes, one number each, give the offsets.
+    partitions' sizes, one number each, give the offsets. This runs a job.
     """
     from corvane.sources.scratch import stage
 
     part, inside = "__part", "__inside"
-    keyed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
+    keyed = rows.repartitionByRange(*order).sortWithinPartitions(*order, *(t for t in ties if t not in order)).withColumn(part, F.spark_partition_id())
     keyed = keyed.withColumn(inside, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     keyed = stage(keyed, "numbered")
     sizes = keyed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
@@ -38,6 +40,13 @@ def numbered(rows: DataFrame, *order: str, start: int = 0, name: str = "indexid"
     return keyed.join(F.broadcast(offsets), part).select(*rows.columns, (F.col("offset") + F.col(inside)).alias(name))
 
 
+def _merged(a: T.StructType | None, b: T.StructType | None) -> T.StructType | None:
+    """Columns of both; those whose types differ, and all where a side isn't known, are left out."""
+    if a is None or b is None:
+        return None
+    return T.StructType([f for f in a if f.name not in b.names or b[f.name].dataType == f.dataType] + [f for f in b if f.name not in a.names])
+
+
 @dataclass
 class Columns:
     """Which columns hold what: ``store`` limits what is kept of each document (None: all; empty: nothing)."""
@@ -56,6 +65,7 @@ class Content:
     objects: DataFrame | None = None
     columns: Columns = field(default_factory=Columns)
     offset: int = 0
+    schema: T.StructType | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, id: str | None, columns: Columns | None = None, tags: str | None = None, order: list[str] | None = None, offset: int = 0, now: datetime | None = None, autoid: str = "int") -> Content:
@@ -63,7 +73,9 @@ class Content:
 
         All rows go to ``documents`` (of rows with one id the last in order);
         those with text (else an object) get a section and an indexid. Without
-        an id, rows get numbers, or name-based ids (``autoid`` "uuid5").
+        an id, rows get numbers, or name-based ids (``autoid`` "uuid5"). A row
+        whose id is null gets the name-based id of its text and data, so such
+        rows stay apart unless they are equal. An empty table gives empty ones.
         """
         columns = columns or Columns()
         entry = F.lit(now) if now else F.current_timestamp()
@@ -73,36 +85,55 @@ class Content:
             text = F.array_join(text, " ")
         obj = F.col(columns.object) if columns.object in docs.columns else F.lit(None).cast("binary")
         data = F.to_json(F.struct(*names)) if names else F.lit(None).cast("string")
-        key = F.col(id).cast("string") if id else uuid5(text.cast("string")) if autoid == "uuid5" else F.lit(None).cast("string")
+        named = uuid5(F.concat_ws("\x1f", text.cast("string"), data))
+        key = F.coalesce(F.col(id).cast("string"), named) if id else uuid5(text.cast("string")) if autoid == "uuid5" else F.lit(None).cast("string")
         rows = docs.select(key.alias("id"), text.cast("string").alias("text"), obj.cast("binary").alias("object"), data.alias("data"), (F.col(tags).cast("string") if tags else F.lit(None).cast("string")).alias("tags"), entry.alias("entry"), *(F.col(o).alias(f"__o{i}") for i, o in enumerate(order or ([id] if id else []))))
         sort = [c for c in rows.columns if c.startswith("__o")] or ["text", "data"]
         if not id and autoid == "int":
             rows = numbered(rows, *sort, start=offset, name="n").withColumn("id", F.col("n").cast("string")).drop("n")
-        indexed = numbered(rows.where("text is not null or object is not null"), *sort, start=offset)
+        indexed = numbered(rows.where("text is not null or object is not null"), *sort, start=offset, ties=("text", "data"))
         sections = indexed.select("indexid", "id", "text", "tags", "entry")
-        last = Window.partitionBy("id").orderBy(*(F.desc(c) for c in sort))
-        stored = rows.withColumn("__rn", F.row_number().over(last)).where("__rn = 1")
+        # The last row of an id, found by a partial aggregation: an id that many rows share isn't sorted.
+        order = F.struct(*(F.col(c) for c in sort), F.col("text"), F.col("data"))
+        stored = rows.groupBy("id").agg(F.max_by(F.struct("data", "tags", "entry", "object"), order).alias("r")).select("id", "r.*")
         objects = stored.where("object is not null").select("id", "object", "tags", "entry") if columns.object in docs.columns else None
-        return cls(sections, stored.select("id", "data", "tags", "entry"), objects, columns, offset)
+        return cls(sections, stored.select("id", "data", "tags", "entry"), objects, columns, offset, T.StructType([docs.schema[c] for c in names]))
+
+    def typed(self, path: str) -> str | None:
+        """The Spark type of a path of the documents, where the columns that they came from say it."""
+        kind: T.DataType | None = self.schema
+        for part in re.findall(r"\[\d+\]|[^.\[\]]+", path):
+            if part.startswith("["):
+                kind = kind.elementType if isinstance(kind, T.ArrayType) else None
+            elif isinstance(kind, T.MapType):
+                kind = kind.valueType
+            else:
+                kind = kind[part].dataType if isinstance(kind, T.StructType) and part in kind.names else None
+        if isinstance(kind, T.IntegralType):
+            return "bigint"
+        if isinstance(kind, T.FractionalType):
+            return "double"
+        return "boolean" if isinstance(kind, T.BooleanType) else "string" if isinstance(kind, (T.StringType, T.DatetimeType)) else None
 
     def delete(self, gone: DataFrame) -> Content:
         """Less the ids in ``gone`` (id)."""
         gone = gone.select(F.col("id").cast("string").alias("id")).distinct()
         without = lambda t: None if t is None else t.join(gone, "id", "left_anti").select(t.columns)
-        return Content(without(self.sections), without(self.documents), without(self.objects), self.columns, self.offset)
+        return replace(self, sections=without(self.sections), documents=without(self.documents), objects=without(self.objects))
 
     def upsert(self, other: Content) -> Content:
         """With the rows of ``other``, whose ids replace old ones; its sections are numbered after the greatest number here."""
-        start = (self.sections.agg(F.max("indexid")).first()[0] or -1) + 1 if not self.sections.isEmpty() else self.offset
+        last = self.sections.agg(F.max("indexid")).first()[0]
+        start = self.offset if last is None else last + 1
         kept = self.delete(other.documents)
         new = numbered(other.sections.withColumnRenamed("indexid", "__o"), "__o", start=start).select(self.sections.columns)
         objects = kept.objects if other.objects is None else other.objects if kept.objects is None else kept.objects.unionByName(other.objects)
-        return Content(kept.sections.unionByName(new), kept.documents.unionByName(other.documents), objects, self.columns, start)
+        return Content(kept.sections.unionByName(new), kept.documents.unionByName(other.documents), objects, self.columns, start, _merged(self.schema, other.schema))
 
     def reindex(self) -> Content:
         """With numbers made dense again from 0, in the old order."""
         rows = numbered(self.sections.withColumnRenamed("indexid", "__old"), "__old").drop("__old").select("indexid", "id", "text", "tags", "entry")
-        return Content(rows, self.documents, self.objects, self.columns, 0)
+        return replace(self, sections=rows, offset=0)
 
     def indexids(self, wanted: DataFrame) -> DataFrame:
         """(id, indexid) of ids."""
@@ -118,11 +149,11 @@ class Content:
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         if self.objects is not None:
             self.objects.write.mode("overwrite").parquet(f"{path}/objects")
-        config = {"text": self.columns.text, "object": self.columns.object, "store": self.columns.store, "offset": self.offset, "objects": self.objects is not None}
+        config = {"text": self.columns.text, "object": self.columns.object, "store": self.columns.store, "offset": self.offset, "objects": self.objects is not None, "schema": self.schema.json() if self.schema else None}
         spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Content:
         config = json.loads(spark.read.text(f"{path}/config").first()[0])
         objects = spark.read.parquet(f"{path}/objects") if config["objects"] else None
-        return cls(spark.read.parquet(f"{path}/sections"), spark.read.parquet(f"{path}/documents"), objects, Columns(config["text"], config["object"], config["store"]), config["offset"])
+        return cls(spark.read.parquet(f"{path}/sections"), spark.read.parquet(f"{path}/documents"), objects, Columns(config["text"], config["object"], config["store"]), config["offset"], T.StructType.fromJson(json.loads(config["schema"])) if config.get("schema") else None)

@@ -60,3 +60,16 @@ def release(df: DataFrame) -> None:
     """Deletes the table of a staged ``df`` that nothing will read again; other DataFrames are left alone."""
     if path := getattr(df, "_scratch", None):
         _delete(df.sparkSession, path)
+
+
+def balanced(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan, dealt out to all cores where the files give fewer tasks than there are cores; other plans stay.
+
+    For work per row that costs more than moving the row. Large inputs have more tasks than cores and are left alone.
+    """
+    if rows.isStreaming:
+        return rows
+    cores, plan = rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)

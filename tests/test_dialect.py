@@ -41,7 +41,7 @@ def test_issql():
     ("select id from docs where a in (1, 2) and not (a = 2)", [("0",)]),
     ("select id from docs where a between 2 and 3 or text like '%bear%' order by id", [("1",), ("2",)]),
     ("select count(*) as n, sum(a) as s from docs", [(3, 3.0)]),
-    ("select flag as f, count(*) as n from docs group by flag having count(*) > 1", [("true", 2)]),
+    ("select flag as f, count(*) as n from docs group by flag having count(*) > 1", [(True, 2)]),
     ("select id as x from docs where x = '2'", [("2",)]),
     ("select a * 2 + 1 as twice, 'n' || id as name from docs where id = 1", [(5.0, "n1")]),
     ("select id from docs order by id desc limit 1 offset 1", [("1",)]),
