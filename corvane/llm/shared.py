@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.sources.scratch import balanced, release, stage
 from corvane.sources.scratch import folder as shared_dir
-from corvane.sources.scratch import release, stage
 
-__all__ = ["anti_by_id", "fixed_binary", "fresh", "id_type", "long_list", "map_text", "partitions", "release", "shared_dir", "slices", "stage", "strings", "table"]
+__all__ = ["anti_by_id", "balanced", "fixed_binary", "fresh", "id_type", "long_list", "map_text", "partitions", "release", "shared_dir", "slices", "stage", "strings", "table"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -56,7 +56,7 @@ def slices(batch: pa.RecordBatch, col: str, most: int = 4 << 20) -> Iterator[pa.
 
 
 def map_text(df: DataFrame, col: str, schema: T.StructType, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None]) -> DataFrame:
-    """``mapInArrow`` over parts of bounded size; ``f`` returns a batch, several, or none."""
+    """``mapInArrow`` over parts of bounded size, on all cores; ``f`` returns a batch, several, or none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +68,7 @@ def map_text(df: DataFrame, col: str, schema: T.StructType, f: Callable[[pa.Reco
                     if x.num_rows:
                         yield x
 
-    return df.mapInArrow(run, schema)
+    return balanced(df).mapInArrow(run, schema)
 
 
 def long_list(values: np.ndarray) -> pa.Array:
