@@ -1,4 +1,10 @@
-"""Graphs as two tables: nodes (indexid, ...) and edges (src, dst, weight) with src < dst."""
+"""Graphs as two tables: nodes (indexid, ...) and edges (src, dst, weight) with src < dst.
+
+Defined results: loops and edges without one of their nodes are dropped by
+``canonical`` and by the joins with nodes; of repeated edges the heaviest stays;
+null weights count as 0 where weights are summed; graphs without nodes or edges
+give empty or lone results.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.vectors import Encoder, encode
 from corvane.operators import dense
-from corvane.sources.scratch import stage
+from corvane.sources.scratch import release, stage
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -57,6 +64,26 @@ class Graph:
         e = self.both().where(F.col("src") == src)
         return not (e if dst is None else e.where(F.col("dst") == dst)).isEmpty()
 
+    def node(self, node: int) -> dict[str, object] | None:
+        """A node's attributes, None where there is no such node."""
+        row = self.nodes.where(F.col("indexid") == node).first()
+        return None if row is None else row.asDict(recursive=True)
+
+    def has_node(self, node: int) -> bool:
+        return not self.nodes.where(F.col("indexid") == node).isEmpty()
+
+    def attribute(self, node: int, name: str) -> object:
+        """One attribute of a node, None where node or attribute are missing."""
+        return (self.node(node) or {}).get(name)
+
+    def with_attribute(self, name: str, values: DataFrame) -> Graph:
+        """With an attribute from (indexid, value) in place of what nodes had by that name; null where no value is given."""
+        given = values.select("indexid", F.col("value").alias(name))
+        return Graph(self.nodes.drop(name).join(given, "indexid", "left"), self.edges)
+
+    def without_attribute(self, *names: str) -> Graph:
+        return Graph(self.nodes.drop(*names), self.edges)
+
     def scan(self, attribute: str | None = None) -> DataFrame:
         """Nodes, or those that have an attribute."""
         return self.nodes if attribute is None else self.nodes.where(F.col(attribute).isNotNull())
@@ -139,16 +166,78 @@ class Graph:
                 return new
             labels = new
 
-    def louvain(self, resolution: float = 1.0, most: int | None = None) -> DataFrame:
-        """(indexid, label) of greedy modularity communities, on the driver at every size; with ``most``, more edges than that are an error."""
-        if most is not None and (n := self.edges.count()) > most:
-            raise ValueError(f"{n} edges; communities of at most {most} were asked for")
-        e = self.edges.orderBy("src", "dst").toPandas()
-        nodes = [r[0] for r in self.nodes.select("indexid").orderBy("indexid").collect()]
-        found = _louvain(nodes, list(zip(e.src.tolist(), e.dst.tolist(), e.weight.tolist())), resolution)
-        return self.nodes.sparkSession.createDataFrame(sorted(found.items()), "indexid long, label long")
+    def louvain(self, resolution: float = 1.0) -> DataFrame:
+        """(indexid, label) of greedy modularity communities, by rounds of joins: local moving, then contraction, until nothing gains.
 
-    def shortest(self, source: int, target: int | None = None, most: int = 100) -> DataFrame:
+        In a round each node looks for the community around it with the
+        greatest gain, and a half of the nodes (another one each time, by hash)
+        may move. Local moving ends when no node wants to move, or when the
+        modularity hasn't grown for two rounds; the best round counts. Only
+        totals reach the driver. A label is the least member's number; nodes
+        without edges stay alone.
+        """
+        edges = stage(self.both().groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "links")
+        total = edges.agg(F.sum("weight")).first()[0]
+        whole = self.nodes.select("indexid", F.col("indexid").alias("label"))
+        if not total:
+            return whole
+        while True:
+            group, moved = _moved(edges, total, resolution)
+            if not moved:
+                return whole
+            names = group.groupBy("label").agg(F.min("indexid").alias("name"))
+            group = group.join(names, "label").select(F.col("indexid").alias("label"), "name")
+            whole = stage(whole.join(group, "label", "left").select("indexid", F.coalesce("name", "label").alias("label")), "communities")
+            ends = group.withColumnRenamed("name", "to")
+            smaller = edges.join(ends.withColumnRenamed("label", "src").withColumnRenamed("to", "a"), "src").join(ends.withColumnRenamed("label", "dst").withColumnRenamed("to", "b"), "dst")
+            edges = stage(smaller.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")), "links")
+
+    def communities(self, algorithm: str = "louvain", resolution: float = 1.0) -> DataFrame:
+        """(indexid, label) by ``louvain``, ``lpa`` (label propagation) or ``components``."""
+        return {"louvain": lambda: self.louvain(resolution), "lpa": self.labels, "components": self.components}[algorithm]()
+
+    def with_topics(self, algorithm: str = "louvain", terms: int = 4, resolution: float = 1.0, stopwords: tuple[str, ...] = (), categories: list[str] | None = None, encoder: Encoder | None = None) -> Graph:
+        """With ``topic``, ``topicrank`` (0 is the best row) and ``category`` of each node, from communities and their words.
+
+        A community is named by the words that most of its texts have; those
+        without words are ``topic_`` and their place by size, and rank by
+        degree. Communities of one name are one topic. ``categories`` are
+        labels of which each topic gets the nearest, by ``encoder``.
+        """
+        from corvane.operators import topics
+
+        found = stage(self.communities(algorithm, resolution).withColumnRenamed("label", "grp"), "communities")
+        texts = self.nodes.select("indexid", "text") if "text" in self.nodes.columns else self.nodes.select("indexid", F.lit(None).cast("string").alias("text"))
+        rows = stage(topics.named(found.join(texts, "indexid"), self.degree(), terms, stopwords), "topics")
+        if categories and encoder:
+            spark = self.nodes.sparkSession
+            vector = lambda c: encode(F.col(c), encoder).alias("vector")
+            names = spark.createDataFrame([(c,) for c in categories], "category string").select("category", vector("category"))
+            distinct = rows.select("topic").distinct().select("topic", F.translate("topic", "_", " ").alias("words")).select("topic", vector("words"))
+            rows = rows.join(topics.categories(distinct, names), "topic", "left")
+        else:
+            rows = rows.withColumn("category", F.lit(None).cast("string"))
+        return Graph(self.without_topics().nodes.join(rows.select("indexid", "topic", "topicrank", "category"), "indexid", "left"), self.edges)
+
+    def without_topics(self) -> Graph:
+        return self.without_attribute("topic", "topicrank", "category")
+
+    def topics(self) -> DataFrame:
+        """(topic, category, n): topics from the largest on."""
+        return self.nodes.where("topic is not null").groupBy("topic").agg(F.first("category").alias("category"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic")
+
+    def with_inferred(self) -> Graph:
+        """With topics of nodes that have none, from the nodes around them; they rank after those that have."""
+        new = self.nodes.where("topic is null").select("indexid")
+        found = self.infer(new).withColumnRenamed("topic", "new_topic").withColumnRenamed("category", "new_category")
+        size = self.nodes.where("topic is not null").groupBy(F.col("topic").alias("new_topic")).agg((F.max("topicrank") + 1).alias("after"))
+        place = F.row_number().over(Window.partitionBy("new_topic").orderBy("indexid")) - 1
+        ranked = found.join(size, "new_topic").withColumn("new_rank", F.col("after") + place).select("indexid", "new_topic", "new_category", "new_rank")
+        nodes = self.nodes.join(ranked, "indexid", "left")
+        pick = {"topic": "new_topic", "category": "new_category", "topicrank": "new_rank"}
+        return Graph(nodes.select(*(F.coalesce(c, pick[c]).alias(c) if c in pick else c for c in self.nodes.columns)), self.edges)
+
+    def shortest(self, source: int, target: int | None = None) -> DataFrame:
         """(indexid, distance, path) of the nearest paths from a node, by frontier joins.
 
         An edge is 1 - weight long, and 1 if that is under 0.15 (near copies
@@ -159,14 +248,16 @@ class Graph:
         spark = self.nodes.sparkSession
         best = spark.createDataFrame([(source, 0.0, [source])], "indexid long, distance double, path array<long>")
         frontier = best
-        for _ in range(most):
+        while True:
             step = frontier.join(links, frontier.indexid == links.src).where(~F.array_contains("path", F.col("dst")))
             step = step.select(F.col("dst").alias("indexid"), F.round(F.col("distance") + F.col("length"), 12).alias("distance"), F.concat("path", F.array("dst")).alias("path"))
             old = best.withColumn("old", F.lit(1))
             every = old.unionByName(step.withColumn("old", F.lit(0)))
             pick = every.groupBy("indexid").agg(F.min(F.struct("distance", "path", "old")).alias("x"))
-            merged = stage(pick.select("indexid", "x.distance", "x.path", "x.old"), "paths")
+            before, merged = best, stage(pick.select("indexid", "x.distance", "x.path", "x.old"), "paths")
+            release(before)
             best, frontier = merged.drop("old"), merged.where("old = 0").drop("old")
+            best._scratch = merged._scratch
             if frontier.isEmpty():
                 break
         return best if target is None else best.where(F.col("indexid") == target)
@@ -202,46 +293,34 @@ class Graph:
         return cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
 
-def _louvain(nodes: list[int], edges: list[tuple[int, int, float]], resolution: float) -> dict[int, int]:
-    """Local moving and contraction in a fixed order, until the modularity no longer grows; labels are least members."""
-    member = {n: n for n in nodes}
-    around: dict[int, dict[int, float]] = {n: {} for n in nodes}
-    for a, b, w in edges:
-        around[a][b] = around[a].get(b, 0.0) + w
-        around[b][a] = around[b].get(a, 0.0) + w
-    total = sum(w for _, _, w in edges) * 2
-    if not total:
-        return member
+def _moved(edges: DataFrame, total: float, resolution: float) -> tuple[DataFrame, bool]:
+    """(indexid, label) of the best round of local moving over links in both directions (loops are twice what they hold), and whether any node moved."""
+    degree = stage(edges.groupBy(F.col("src").alias("indexid")).agg(F.sum("weight").alias("degree")), "degrees")
+    now = degree.select("indexid", "degree", F.col("indexid").alias("label"))
+    best, most, poor, turn = None, None, 0, 0
     while True:
-        degree = {n: sum(x.values()) for n, x in around.items()}
-        group = {n: n for n in around}
-        weight = dict(degree)
-        moved = True
-        any_move = False
-        while moved:
-            moved = False
-            for n in sorted(around):
-                mine = group[n]
-                weight[mine] -= degree[n]
-                to: dict[int, float] = {mine: 0.0}
-                for m, w in around[n].items():
-                    if m != n:
-                        to[group[m]] = to.get(group[m], 0.0) + w
-                gain = lambda g: to[g] - resolution * weight[g] * degree[n] / total  # noqa: B023, E731
-                best = max(to, key=lambda g: (round(gain(g), 12), g == mine, -g))
-                weight[best] += degree[n]
-                group[n] = best
-                if best != mine:
-                    moved = any_move = True
-        if not any_move:
-            break
-        member = {n: group[g] for n, g in member.items()}
-        smaller: dict[int, dict[int, float]] = {g: {} for g in set(group.values())}
-        for n, x in around.items():
-            for m, w in x.items():
-                smaller[group[n]][group[m]] = smaller[group[n]].get(group[m], 0.0) + w
-        around = smaller
-    least: dict[int, int] = {}
-    for n, g in member.items():
-        least[g] = min(least.get(g, n), n)
-    return {n: least[g] for n, g in member.items()}
+        ends = now.select(F.col("indexid").alias("dst"), F.col("label").alias("near"))
+        links = edges.join(ends, "dst").groupBy(F.col("src").alias("indexid"), "near").agg(F.sum(F.when(F.col("src") != F.col("dst"), F.col("weight"))).alias("w"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight"))).alias("loop"))
+        mass = now.groupBy(F.col("label").alias("near")).agg(F.sum("degree").alias("mass"))
+        mine = now.select("indexid", "degree", "label")
+        own = F.col("near") == F.col("label")
+        rows = links.join(mine, "indexid").join(mass, "near")
+        gain = F.round(F.coalesce("w", F.lit(0.0)) - resolution * (F.col("mass") - F.when(own, F.col("degree")).otherwise(F.lit(0.0))) * F.col("degree") / total, 9)
+        # A node whose own community holds no neighbour of it may leave it for one that gains anything.
+        choice = rows.groupBy("indexid").agg(F.max_by(F.struct("near", gain.alias("gain")), F.struct(gain, own, -F.col("near"))).alias("to"), F.max(F.when(own, gain)).alias("stay"), F.sum(F.when(own, F.coalesce("w", F.lit(0.0)) + F.coalesce("loop", F.lit(0.0)))).alias("inside"))
+        alone = mass.withColumnRenamed("near", "label").withColumnRenamed("mass", "of")
+        state = mine.join(choice, "indexid").join(alone, "label")
+        stay = F.coalesce("stay", F.round(-resolution * (F.col("of") - F.col("degree")) * F.col("degree") / total, 9))
+        state = stage(state.select("indexid", "degree", "label", F.when(F.col("to.gain") > stay, F.col("to.near")).otherwise(F.col("label")).alias("wish"), "inside"), "moves")
+        inside = state.agg(F.sum("inside"), F.sum(F.when(F.col("wish") != F.col("label"), 1).otherwise(0))).first()
+        spread = state.groupBy("label").agg(F.sum("degree").alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0]
+        quality = (inside[0] or 0.0) / total - resolution * spread / total**2
+        if most is None or quality > most + 1e-9:
+            best, most, poor = (turn, state), quality, 0
+        else:
+            poor += 1
+        if not inside[1] or poor == 2:
+            return best[1].select("indexid", "label"), best[0] > 0
+        may = F.pmod(F.xxhash64("indexid", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        now = state.select("indexid", "degree", F.when(may, F.col("wish")).otherwise(F.col("label")).alias("label"))
+        turn += 1

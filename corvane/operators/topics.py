@@ -1,4 +1,4 @@
-"""Topics: communities named by their commonest words."""
+"""Topics: communities named by their commonest words. Null texts have no words; groups without any have no terms."""
 
 from __future__ import annotations
 
@@ -29,22 +29,39 @@ def topic_terms(groups: DataFrame, text: str = "text", terms: int = 4, stopwords
     return df.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= terms).select("grp", "rank", "term", "df")
 
 
-def topic_labels(groups: DataFrame, text: str = "text", terms: int = 4) -> DataFrame:
+def topic_labels(groups: DataFrame, text: str = "text", terms: int = 4, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(grp, topic): the terms joined by underscores."""
-    rows = topic_terms(groups, text, terms)
+    rows = topic_terms(groups, text, terms, stopwords)
     return rows.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), "_").alias("topic"))
 
 
-def ranked(groups: DataFrame, text: str = "text", terms: int = 4, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def ranked(groups: DataFrame, text: str = "text", terms: int = 4, k1: float = 1.2, b: float = 0.75, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(topic, indexid, score, topicrank): documents of each topic by BM25 of its terms; groups with the same terms are one topic."""
-    stats = term_statistics(groups, text).join(topic_terms(groups, text, terms).select("grp", "term"), ["grp", "term"])
+    stats = term_statistics(groups, text).join(topic_terms(groups, text, terms, stopwords).select("grp", "term"), ["grp", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = stats.groupBy("grp", "indexid").agg(F.sum(score).alias("score")).join(topic_labels(groups, text, terms), "grp")
+    rows = stats.groupBy("grp", "indexid").agg(F.sum(score).alias("score")).join(topic_labels(groups, text, terms, stopwords), "grp")
     order = Window.partitionBy("topic").orderBy(F.desc(F.round("score", 9)), "indexid")
     return rows.select("topic", "indexid", "score", (F.row_number().over(order) - 1).cast("long").alias("topicrank"))
 
 
+def named(groups: DataFrame, degree: DataFrame, terms: int = 4, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """(indexid, topic, topicrank) of members (grp, indexid, text) of communities.
+
+    Members without any of the topic's words rank last, by degree; so do all of
+    a community without words, which is named by its place by size.
+    """
+    size = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    labels = topic_labels(groups, "text", terms, stopwords)
+    nameless = size.join(labels, "grp", "left_anti")
+    places = size.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "grp")) - 1)  # a row for each community
+    labels = labels.unionByName(nameless.join(places.select("grp", "place"), "grp").select("grp", F.concat(F.lit("topic_"), "place").alias("topic")))
+    scores = ranked(groups, "text", terms, stopwords=stopwords).select("indexid", "score")
+    rows = groups.select("grp", "indexid").join(labels, "grp").join(scores, "indexid", "left").join(degree.select("indexid", "degree"), "indexid")
+    order = Window.partitionBy("topic").orderBy(F.desc_nulls_last(F.round("score", 9)), F.desc("degree"), "indexid")
+    return rows.select("indexid", "topic", (F.row_number().over(order) - 1).cast("long").alias("topicrank"))
+
+
 def sizes(topics: DataFrame) -> DataFrame:
     """(topic, n, place): topics from the largest on."""
     n = topics.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,10 @@
-"""Path queries: MATCH (A)-[]->(B), (A)-[*1..3]->(B); WHERE; RETURN; ORDER BY; LIMIT, as chains of joins."""
+"""Path queries: MATCH (A)-[R]->(B), (A)<-[*1..3]-(B); WHERE; RETURN; ORDER BY; LIMIT, as chains of joins.
+
+The graph is undirected, so arrows either way mean the same. A named edge of one
+hop has ``src``, ``dst`` and ``weight``; one of several hops is an array of such.
+Defined results: no edge is used twice in a path; unknown properties are errors;
+empty graphs give no rows; ties of ORDER BY go by the path.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +18,10 @@ from pyspark.sql import functions as F
 from corvane.operators.graph import Graph
 
 _NODE = r"\(\s*(\w*)\s*(?:\{([^}]*)\})?\s*\)"
-_EDGE = r"-\[\s*(\w*)\s*(?:\*(\d+)(?:\.\.(\d+))?)?\s*\]-(>?)"
+_EDGE = r"<?-\[\s*(\w*)\s*(?:\*(\d+)(?:\.\.(\d+))?)?\s*(?:\{([^}]*)\})?\s*\]->?"
+_PROPERTY = r"(\w+)\s*:\s*(\"[^\"]*\"|'[^']*'|[^,\s]+)"
+#: similar(node, "text"[, number]); the text may hold anything but its own quotes.
+_SIMILAR = re.compile(r"similar\(\s*(\w+)\s*,\s*(\"[^\"]*\"|'[^']*')\s*(?:,\s*(\d+))?\s*\)", re.I)
 
 
 class PathError(ValueError):
@@ -23,7 +32,7 @@ class PathError(ValueError):
 class Path:
     name: str | None
     nodes: list[tuple[str, dict[str, str]]]
-    hops: list[tuple[int, int]]
+    hops: list[tuple[int, int, str, dict[str, str]]]
     where: str | None
     returns: list[str]
     order: list[tuple[str, bool]]
@@ -50,8 +59,7 @@ def parse(query: str) -> Path:
         n = re.compile(_NODE).match(pattern, at)
         if not n:
             raise PathError(pattern)
-        props = dict(re.findall(r"(\w+)\s*:\s*(\"[^\"]*\"|'[^']*'|[^,\s]+)", n[2] or ""))
-        nodes.append((n[1] or f"_{len(nodes)}", {k: v.strip("'\"") for k, v in props.items()}))
+        nodes.append((n[1] or f"_{len(nodes)}", {k: v.strip("'\"") for k, v in re.findall(_PROPERTY, n[2] or "")}))
         at = n.end()
         if not pattern[at:].strip():
             break
@@ -59,10 +67,10 @@ def parse(query: str) -> Path:
         if not e:
             raise PathError(pattern)
         least = int(e[2]) if e[2] else 1
-        hops.append((least, int(e[3]) if e[3] else least))
+        hops.append((least, int(e[3]) if e[3] else least, e[1], {k: v.strip("'\"") for k, v in re.findall(_PROPERTY, e[4] or "")}))
         at = e.end()
     similar = []
-    for s in re.finditer(r"(?is)similar\(\s*(\w+)\s*,\s*(\"[^\"]*\"|'[^']*')\s*(?:,\s*(\d+))?\s*\)", where or ""):
+    for s in _SIMILAR.finditer(where or ""):
         similar.append((s[1], s[2][1:-1], int(s[3]) if s[3] else None))
     orders = [(o.split()[0], o.split()[-1].lower() == "desc") for o in (order or "").split(",") if o.strip()]
     return Path(name, nodes, hops, where, [r.strip() for r in returns.split(",")], orders, int(limit) if limit else None, similar)
@@ -78,11 +86,11 @@ def run(graph: Graph, query: str, search: Callable[[str, int], DataFrame], limit
     where, found = p.where, {}
     for i, (node, text, n) in enumerate(p.similar):
         found.setdefault(node, []).append((i, search(text, n or limit * 10).select("indexid", F.col("score").alias(f"score{i}"))))
-        where = re.sub(r"(?is)similar\([^)]*\)", f"{node}.match_{i} > 0", where, count=1)
+        where = _SIMILAR.sub(f"{node}.match_{i} > 0", where, count=1)
     nodes = graph.nodes
     if "id" not in nodes.columns:
         nodes = nodes.withColumn("id", F.col("indexid").cast("string"))
-    both = graph.both().select("src", "dst")
+    both = graph.both().select("src", "dst", F.struct("src", "dst", "weight").alias("__edge"))
     rows = None
     for at, (name, props) in enumerate(p.nodes):
         own = nodes
@@ -97,23 +105,27 @@ def run(graph: Graph, query: str, search: Callable[[str, int], DataFrame], limit
         if rows is None:
             rows = packed.withColumn("__path", F.array(f"{name}__key")).withColumn("__used", F.array().cast("array<string>"))
             continue
-        least, most = p.hops[at - 1]
-        walk, out = rows, None
+        least, most, edge_name, edge_props = p.hops[at - 1]
+        link = both
+        for k, v in edge_props.items():
+            link = link.where(F.col(f"__edge.{k}").cast("string") == v)
+        walk, out = rows.withColumn("__walk", F.array().cast(f"array<{dict(both.dtypes)['__edge']}>")), None
         for step in range(1, most + 1):
-            walk = walk.withColumn("src", F.element_at("__path", -1)).join(both, "src")
+            walk = walk.withColumn("src", F.element_at("__path", -1)).join(link, "src").withColumn("__walk", F.concat("__walk", F.array("__edge")))
             edge = F.concat_ws("-", F.least("src", "dst"), F.greatest("src", "dst"))
-            walk = walk.where(~F.array_contains("__used", edge)).withColumn("__used", F.concat("__used", F.array(edge))).withColumn("__path", F.concat("__path", F.array("dst"))).drop("src", "dst")
+            walk = walk.where(~F.array_contains("__used", edge)).withColumn("__used", F.concat("__used", F.array(edge))).withColumn("__path", F.concat("__path", F.array("dst"))).drop("src", "dst", "__edge")
             if step >= least:
                 one = walk.withColumn(f"{name}__key", F.element_at("__path", -1)).join(packed, f"{name}__key")
                 out = one if out is None else out.unionByName(one)
-        rows = out
+        rows = out.withColumnRenamed("__walk", edge_name) if edge_name and most > 1 else out.withColumn(edge_name, F.element_at("__walk", 1)).drop("__walk") if edge_name else out.drop("__walk")
+    edges = {h[2] for h in p.hops if h[2]}
     if where:
         rows = rows.where(F.expr(re.sub(r"\"([^\"]*)\"", r"'\1'", where)))
 
     def item(text: str) -> Column:
         if text == p.name:
             return F.col("__path")
-        return F.col(text) if "." in text else F.col(f"{text}.id")
+        return F.col(text) if "." in text or text in edges else F.col(f"{text}.id")
 
     chosen = [item(r).alias(r) for r in p.returns]
     order = [F.desc(item(o)) if down else F.asc(item(o)) for o, down in p.order]

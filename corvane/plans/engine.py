@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corvane.functions.tokenize import alphanum
 from corvane.functions.vectors import Encoder, encode, hashing_encoder, normalise, principal_axes, remove_axes
 from corvane.operators import dense, fusion, retrieval, scoring
-from corvane.operators.graph import Graph, canonical, knn_edges
+from corvane.operators.graph import Graph, canonical, knn_edges, related_edges
 from corvane.plans import cypher
 from corvane.plans.dialect import SIMILAR, Clause, Query, Rewriter, SqlError, issql
 from corvane.sources.content import Columns, Content, numbered
@@ -161,6 +161,8 @@ class Index:
                 found = dense.search(out.vectors, vectors.withColumnRenamed("indexid", "qid"), 15, loops=False).where("score > 0.1")
                 edges = found.select(F.col("qid").alias("src"), F.col("indexid").alias("dst"), F.col("score").alias("weight"))
                 out.graph = Graph(nodes, canonical(out.graph.edges.unionByName(edges)))
+                if "topic" in nodes.columns:
+                    out.graph = out.graph.with_inferred()
         for name, part in out.indexes.items():
             if (column := self.sources[name]) in docs.columns:
                 part.content = replace(part.content, sections=part.content.sections.unionByName(other_text(new, docs, id, column)))
@@ -401,7 +403,19 @@ class Index:
     def with_graph(self, limit: int = 15, minscore: float = 0.1) -> Index:
         """With a graph whose edges join rows of similar vectors."""
         nodes = self.content.sections.select("indexid", "id", "text")
-        return replace(self, graph=Graph(nodes, knn_edges(self.vectors, limit, minscore)))
+        return replace(self, graph=Graph(nodes, stage(knn_edges(self.vectors, limit, minscore), "edges")))
+
+    def with_topics(self, **options: Any) -> Index:
+        """With topics on the graph (see ``Graph.with_topics``); rows that are upserted later take those around them."""
+        return replace(self, graph=self.graph.with_topics(encoder=self.encoder, **options))
+
+    def with_relationships(self, docs: DataFrame, id: str, relationships: str = "relationships") -> Index:
+        """With edges that documents name themselves, added to those of the graph."""
+        ids = self.content.sections.select("id", "indexid")
+        rows = docs.select(F.col(id).cast("string").alias("id"), relationships).join(ids, "id").select("indexid", relationships)
+        given = related_edges(rows, ids, relationships)
+        old = self.graph or Graph(self.content.sections.select("indexid", "id", "text"), given.where("false"))
+        return replace(self, graph=Graph(old.nodes, canonical(old.edges.unionByName(given))))
 
     def cypher(self, query: str, limit: int | None = None) -> DataFrame:
         """A path query; its SIMILAR conditions use this index."""

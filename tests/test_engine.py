@@ -158,45 +158,6 @@ def test_shards(spark):
     assert shard_of("abc", 4) == shard_of("abc", 4) < 4
 
 
-def test_communities_never_change_the_method(spark):
-    pairs = [(a + x, a + y, 1.0) for a in (0, 4) for x in range(4) for y in range(x + 1, 4)] + [(3, 4, 0.5)]
-    g = Graph(spark.createDataFrame([(i,) for i in range(8)], "indexid long"), spark.createDataFrame(pairs, "src long, dst long, weight double"))
-    assert {r.indexid: r.label for r in g.louvain().collect()} == {i: i // 4 * 4 for i in range(8)}
-    with pytest.raises(ValueError, match="13 edges"):
-        g.louvain(most=12)
-
-
-def settled_labels(nodes, edges):
-    """Synchronous label propagation in plain Python, to its end."""
-    around = {n: [] for n in nodes}
-    for a, b, w in edges:
-        around[a].append((b, w))
-        around[b].append((a, w))
-    now, seen = {n: n for n in nodes}, []
-    while now not in seen:
-        seen.append(now)
-        new = {}
-        for n, links in around.items():
-            votes = {}
-            for m, w in links:
-                votes[now[m]] = votes.get(now[m], 0.0) + w
-            new[n] = min(votes, key=lambda x: (-round(votes[x], 9), x)) if votes else now[n]
-        now = new
-    turn = seen[seen.index(now) :]
-    return {n: min(x[n] for x in turn) for n in nodes}, len(seen)
-
-
-def test_labels_until_they_settle(spark):
-    chain = [(i, i + 1, 1.0 + (i == 0)) for i in range(12)] + [(i, i + 2, 1.0) for i in range(11)]
-    edges = [*chain, (20, 21, 1.0)]  # 20 and 21 swap their labels for ever
-    nodes = [*range(13), 20, 21, 30]
-    want, rounds = settled_labels(nodes, edges)
-    assert rounds > 5
-    g = Graph(spark.createDataFrame([(n,) for n in nodes], "indexid long"), spark.createDataFrame(edges, "src long, dst long, weight double"))
-    found = {r.indexid: r.label for r in g.labels().collect()}
-    assert found == want and found[20] == found[21] == 20 and found[30] == 30
-
-
 def test_complete_graph(spark):
     nodes = spark.range(5).select(F.col("id").alias("indexid"))
     edges = spark.createDataFrame([(a, b, 1.0) for a in range(5) for b in range(a + 1, 5)], "src long, dst long, weight double")
