@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.template import fill
-from corvane.functions.vectors import Encoder
+from corvane.functions.vectors import Encoder, dot, encode
 from corvane.operators.scoring import top
 
 
@@ -38,6 +38,34 @@ def prompts(found: DataFrame, questions: DataFrame, template: str = "{question}
     return rows.select("qid", fill(template, {"question": F.col("question"), "context": F.col("context")}).alias("prompt"))
 
 
+def answers(asked: DataFrame, model: Callable[[pd.Series], pd.Series], output: str = "default", found: DataFrame | None = None, encoder: Encoder | None = None) -> DataFrame:
+    """What a model says to (qid, prompt[, name]), in Arrow batches.
+
+    ``output``: ``default`` gives (qid, name, answer), ``flatten`` (qid, answer),
+    ``reference`` (qid, name, answer, reference): the row of the context
+    ``found`` (qid, indexid, text) that is most like the answer, by ``encoder``.
+    A null prompt has a null answer; questions without context no reference.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        some = s.dropna()
+        return pd.Series(model(some), index=some.index).reindex(s.index) if len(some) else s
+
+    name = F.col("name") if "name" in asked.columns else F.col("qid").cast("string")
+    said = asked.select("qid", name.alias("name"), run(F.col("prompt")).alias("answer"))
+    if output == "flatten":
+        return said.select("qid", "answer")
+    if output == "default":
+        return said
+    if output != "reference":
+        raise ValueError(f"unknown output: {output}")
+    vector = lambda c: encode(F.col(c), encoder)
+    near = said.where("answer is not null").select("qid", vector("answer").alias("a")).join(found.select("qid", "indexid", vector("text").alias("t")), "qid")
+    best = near.groupBy("qid").agg(F.min_by("indexid", F.struct(-F.round(dot(F.col("a"), F.col("t")), 9), F.col("indexid"))).alias("reference"))
+    return said.join(best, "qid", "left").select("qid", "name", "answer", "reference")
+
+
 def rerank(candidates: DataFrame, score: Column, k: int = 3) -> DataFrame:
     """The best ``k`` of the candidates of a wider search by another score."""
     return top(candidates.withColumn("score", score), k)

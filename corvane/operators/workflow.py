@@ -1,4 +1,9 @@
-"""Workflows: chains of tasks over a column ``data``; other columns pass through."""
+"""Workflows: chains of tasks over a column ``data``; other columns pass through.
+
+Defined results: a null ``data`` goes to the actions as null (a text for which
+``select`` is null passes unchanged); null and empty arrays explode to no row;
+repeated rows stay; empty tables give empty ones with the same columns.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corvane.functions.template import fill
 
 Action = Callable[[Column], Column]
 
@@ -29,26 +37,28 @@ class Task:
 
     ``select``: a regular expression; rows whose text in lower case doesn't
     match pass unchanged. ``explode``: an array result becomes rows. ``column``:
-    the field of ``data`` that each action gets.
+    the field of ``data`` that each action gets, by name or by place.
+    ``initialize`` and ``finalize`` are called before and after ``Workflow.run``.
     """
 
     actions: list[Action] = field(default_factory=list)
     select: str | None = None
     merge: str | None = "hstack"
     explode: bool = True
-    column: list[str] | None = None
+    column: list[str | int] | None = None
     initialize: Callable[[], None] | None = None
     finalize: Callable[[], None] | None = None
 
-    def inputs(self) -> list[Column]:
+    def inputs(self, rows: DataFrame) -> list[Column]:
         if self.column:
-            return [F.col("data")[c] for c in self.column]
+            kind = rows.schema["data"].dataType
+            return [F.col("data")[kind.names[c] if isinstance(c, int) and isinstance(kind, T.StructType) else c] for c in self.column]
         return [F.col("data")] * len(self.actions)
 
     def __call__(self, rows: DataFrame) -> DataFrame:
         if not self.actions:
             return rows
-        outs = [f(x) for f, x in zip(self.actions, self.inputs())]
+        outs = [f(x) for f, x in zip(self.actions, self.inputs(rows))]
         others = [c for c in rows.columns if c != "data"]
         if len(outs) == 1:
             new = outs[0]
@@ -82,20 +92,32 @@ class Workflow:
     tasks: list[Callable[[DataFrame], DataFrame]]
 
     def __call__(self, rows: DataFrame) -> DataFrame:
+        """The plan; no row is processed and no hook is called yet."""
         for t in self.tasks:
-            if getattr(t, "initialize", None):
-                t.initialize()
             rows = rows.transform(t)
-            if getattr(t, "finalize", None):
-                t.finalize()
         return rows
 
-    def schedule(self, rows: Callable[[], DataFrame], run: Callable[[DataFrame], None], iterations: int, wait: Callable[[], None] | None = None) -> list[str]:
+    def hooks(self, name: str) -> list[Callable[[], None]]:
+        """The hooks of all tasks, also of workflows among them."""
+        found = [t.hooks(name) if isinstance(t, Workflow) else [h] if (h := getattr(t, name, None)) else [] for t in self.tasks]
+        return [h for hs in found for h in hs]
+
+    def run(self, rows: DataFrame, action: Callable[[DataFrame], object]) -> object:
+        """``action`` over the result, between the tasks' ``initialize`` and ``finalize``, which is called even after an error."""
+        for h in self.hooks("initialize"):
+            h()
+        try:
+            return action(self(rows))
+        finally:
+            for h in self.hooks("finalize"):
+                h()
+
+    def schedule(self, rows: Callable[[], DataFrame], run: Callable[[DataFrame], object], iterations: int, wait: Callable[[], None] | None = None) -> list[str]:
         """Runs over new input several times; an error ends only its own turn. Returns the errors."""
         errors = []
         for _ in range(iterations):
             try:
-                run(self(rows()))
+                self.run(rows(), run)
             except Exception as e:
                 errors.append(f"{datetime.now():%Y-%m-%d %H:%M:%S} {type(e).__name__}: {e}")
             if wait:
@@ -103,6 +125,11 @@ class Workflow:
         return errors
 
 
+def templated(template: str, columns: dict[str, str], strict: bool = True) -> Task:
+    """A task that fills a template from fields of ``data`` (name in the template to field)."""
+    return Task([lambda x: fill(template, {name: x[c] for name, c in columns.items()}, strict)])
+
+
 def export(rows: DataFrame, path: str, kind: str = "csv") -> None:
     """Rows as CSV, JSON or Parquet files."""
     rows.write.mode("overwrite").format(kind).option("header", True).save(path)

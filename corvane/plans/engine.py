@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -132,6 +133,29 @@ class Index:
             rows = rows.select("indexid", remove_axes(F.col("vector"), self.axes).alias("vector"))
         return rows
 
+    def encoded_at(self, path: str, parts: int = 16) -> DataFrame:
+        """(indexid, vector) of all sections, encoded part by part under ``path``; parts that an earlier try with the same settings finished are kept.
+
+        Parts go by hash of text, so texts that didn't change since then are found again.
+        """
+        key = hashlib.sha256(json.dumps([self.settings.instructions, self.settings.dimensions, parts], sort_keys=True).encode()).hexdigest()[:16]
+        spark, root = self.spark, f"{path}/{key}"
+        texts = self.content.sections.where("text is not null").select("text").distinct().withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
+        jvm = spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        v = encode(F.col("text"), self.encoder, self.settings.instructions.get("data", ""), self.settings.dimensions).alias("vector")
+        for i in range(parts):
+            at = f"{root}/part-{i}"
+            rows = texts.where(F.col("part") == i).select("text")
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
+                done = spark.read.parquet(at)
+                rows = rows.join(done.select("text"), "text", "left_anti")
+                if rows.isEmpty():
+                    continue
+            rows.select("text", v).write.mode("append").parquet(at)
+        known = spark.read.parquet(*(f"{root}/part-{i}" for i in range(parts))).dropDuplicates(["text"])
+        return self.content.sections.select("indexid", "text").join(known, "text").select("indexid", "vector")
+
     def transform(self, texts: list[str], category: str = "query") -> list[list[float]]:
         """Vectors of texts."""
         rows = self.spark.createDataFrame(list(enumerate(texts)), "qid int, text string")

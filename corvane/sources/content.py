@@ -152,6 +152,23 @@ class Content:
         config = {"text": self.columns.text, "object": self.columns.object, "store": self.columns.store, "offset": self.offset, "objects": self.objects is not None, "schema": self.schema.json() if self.schema else None}
         spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
+    def save_jdbc(self, url: str, properties: dict[str, str] | None = None, prefix: str = "") -> None:
+        """The tables in a relational database, which are replaced; ``url`` and ``properties`` as JDBC has them."""
+        for name in ("sections", "documents", "objects"):
+            if (table := getattr(self, name)) is not None:
+                table.write.jdbc(url, prefix + name, "overwrite", properties or {})
+
+    @classmethod
+    def load_jdbc(cls, spark: SparkSession, url: str, properties: dict[str, str] | None = None, prefix: str = "", objects: bool = False, columns: Columns | None = None) -> Content:
+        """Tables of a relational database; ``sections`` is read in ranges of indexid, by as many tasks as there are cores."""
+        found = [spark.read.jdbc(url, prefix + name, properties=properties or {}) for name in ("sections", "documents", *(["objects"] if objects else []))]
+        found = [t.toDF(*(c.lower() for c in t.columns)) for t in found]
+        lo, hi = found[0].agg(F.min("indexid"), F.max("indexid")).first()
+        if lo is not None and hi > lo:
+            ranged = spark.read.jdbc(url, prefix + "sections", "indexid", lo, hi + 1, spark.sparkContext.defaultParallelism, properties=properties or {})
+            found[0] = ranged.toDF(*(c.lower() for c in ranged.columns))
+        return cls(found[0], found[1], found[2] if objects else None, columns or Columns())
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Content:
         config = json.loads(spark.read.text(f"{path}/config").first()[0])

@@ -80,8 +80,10 @@ def test_reindex_makes_numbers_dense(index):
 
 def test_save_and_load(spark, index, tmp_path):
     index.with_graph(3).save(str(tmp_path / "i"))
-    back = Index.load(spark, str(tmp_path / "i"), Settings(dense=True))
-    assert back.count() == 5 and back.graph.count() == 5
+    back = Index.load(spark, str(tmp_path / "i"))
+    assert back.count() == 5 and back.graph.count() == 5 and back.settings == index.settings and back.words.stored
+    assert ids(back.search("select id from d where similar('title lottery', 1, titles)")) == ["3"]
+    assert ids(back.upsert(spark.createDataFrame([(9, "x", "title comet")], "id long, text string, title string"), "id").sql("select id from d where similar('comet', 1, titles)")) == ["9"]
     assert back.search("bear attack", 1).first()["id"] == "2"
 
 
@@ -133,7 +135,14 @@ def test_stream_into_an_index(spark, tmp_path):
         ingest.ingest(stream, "id", target, str(tmp_path / "checkpoint")).awaitTermination(120)
     found = ingest.latest(spark, target)
     assert sorted((r["id"], r["text"]) for r in found.sections.collect()) == [("1", "one"), ("2", "new two"), ("3", "three")]
-    assert ingest.versions(spark, target) == [1, 2] and ingest.latest(spark, str(tmp_path / "none")) is None
+    assert ingest.versions(spark, target) == [1, 3] and ingest.latest(spark, str(tmp_path / "none")) is None
+    assert spark.read.parquet(f"{target}/v3/sections").count() == 2  # a batch writes its own rows only
+    assert len({r["indexid"] for r in found.sections.collect()}) == 3 and found.documents.count() == 3
+    ingest.compact(spark, target)
+    assert ingest.versions(spark, target) == [4] and sorted(r["text"] for r in ingest.latest(spark, target).sections.collect()) == ["new two", "one", "three"]
+    spark.createDataFrame([(1, None), (5, "five")], schema).coalesce(1).write.mode("append").json(str(source))
+    ingest.ingest(spark.readStream.schema(schema).json(str(source)), "id", target, str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert sorted(r["text"] for r in ingest.latest(spark, target).sections.collect()) == ["five", "new two", "three"]
 
 
 def test_windows_of_streams(spark, tmp_path):
@@ -216,3 +225,46 @@ def test_hashing_encoder_is_deterministic():
 
     e = hashing_encoder()
     assert np.array_equal(e(pd.Series(["a b"])), e(pd.Series(["a b"])))
+
+
+def test_upsert_into_one_row(spark):
+    one = Content.of(spark.createDataFrame([(1, "a")], "id long, text string"), "id")
+    both = one.upsert(Content.of(spark.createDataFrame([(2, "b")], "id long, text string"), "id"))
+    assert sorted((r["indexid"], r["id"]) for r in both.sections.collect()) == [(0, "1"), (1, "2")]
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    rows = spark.createDataFrame([(None, "a"), (None, "b"), (None, "b"), (3, "c")], "id long, text string")
+    c = Content.of(rows, "id")
+    assert c.documents.count() == 3 and c.documents.where("id is null").count() == 0
+    assert c.sections.select("id").distinct().count() == 3 and c.sections.count() == 4
+
+
+def test_candidates_of_a_lone_similar(index):
+    assert index.search("select count(*) as n from d where similar('bear')", 1).first()["n"] == 1
+    assert index.search("select count(*) as n from d where similar('bear') and id > 0", 1).first()["n"] > 1
+
+
+def test_literals_and_stars(index):
+    row = index.sql("select id, 'c.score and o.object' as said, * from d where id = '2'").first()
+    assert row["said"] == "c.score and o.object" and row.__fields__.count("id") == 1 and row["score"] is None
+    assert index.sql("select distinct * from d").count() == 5
+
+
+def test_types_of_paths(spark):
+    rows = spark.createDataFrame([(i, "x", n, f"t{n}") for i, n in enumerate([9, 2, 100, 10])], "id long, text string, n int, s string")
+    index = Index.of(rows, "id", Settings(keyword=False))
+    assert tuple(index.sql("select max(n) as a, min(n) as b, max(s) as c from d").first()) == (100, 2, "t9")
+    assert [r["n"] for r in index.sql("select n from d order by n desc").collect()] == [100, 10, 9, 2]
+    assert ids(index.sql("select id from d where n > id")) == ["0", "1", "2", "3"] and ids(index.sql("select id from d where n = 'no number' or n > text")) == []
+    assert index.sql("select count(*) as n from d where entry >= date('now', '-1 day')").first()["n"] == 4
+
+
+def test_cells_of_an_index(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, f"t{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))], "id long, text string, v array<double>")
+    index = Index.of(rows, "id", Settings(keyword=False), vector="v")
+    q = [rows.first()["v"]]
+    near = [r.indexid for r in index.clustered(8, 8).nearest(q, 5).orderBy(F.desc("score")).collect()]
+    assert near == [r.indexid for r in index.nearest(q, 5).orderBy(F.desc("score")).collect()]
+    assert index.clustered().settings.probes >= 4
