@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import vectors as V
 from corvane.operators import dense, fusion, retrieval, scoring
 from corvane.plans.registered import BM25_SQL, bm25_sql, postings_sql, query, r6, table
+from corvane.sources.scratch import stage
 
 WORDS = ["thtion ering ander", "ouan eaon", "lichung schen verein", "ment elle dans"]
 
@@ -201,6 +202,32 @@ def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vec(dense.search(rows, rows.withColumnRenamed("indexid", "qid"), 3, loops=False, measure=dense.MAX_SIM))
 
 
+_QUARTERS = "[embedding[1:16]::double[], embedding[17:32]::double[], embedding[33:48]::double[], embedding[49:64]::double[]]"
+
+
+@query(f"""WITH m AS (SELECT vec_id, {_QUARTERS} AS m, i FROM embeddings, range(1, 17) AS r(i)),
+    x AS (SELECT vec_id, i, m[1][i] AS a, m[2][i] AS b, m[3][i] AS c, m[4][i] AS d FROM m)
+    SELECT vec_id, i - 1 AS i, round((a + b + c + d) / 4, 6) AS mean, round((a + 2 * b + 3 * c + 4 * d) / 10, 6) AS weighted, round(greatest(a, b, c, d), 6) AS greatest, round(a, 6) AS first, round(d, 6) AS last FROM x""")
+def pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four quarters of a vector as token vectors, made one by every kind of pooling."""
+    m = F.transform(F.array(*(F.slice("vector", i, 16) for i in (1, 17, 33, 49))), lambda v: F.transform(v, lambda x: x.cast("double")))
+    weights = F.array(*(F.lit(float(i)) for i in (1, 2, 3, 4)))
+    rows = corpus(spark, sf_dir).select("indexid", m.alias("m"))
+    pools = {"mean": "mean", "weighted": "weighted", "greatest": "max", "first": "cls", "last": "last"}
+    rows = rows.select(F.col("indexid").alias("vec_id"), *(V.pool(F.col("m"), how, weights).alias(name) for name, how in pools.items()))
+    rows = rows.select("vec_id", F.posexplode(F.arrays_zip(*pools)).alias("i", "x"))
+    return rows.select("vec_id", F.col("i").cast("long").alias("i"), *(r6(F.col("x")[name]).alias(name) for name in pools))
+
+
+@query()
+def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every fiftieth row, by cells: every row is in one. These vectors hardly cluster, so a search reads two thirds of the cells; tests/test_vectors.py measures recall."""
+    rows = corpus(spark, sf_dir)
+    n = dense.cell_count(rows.count())
+    celled, centres = dense.clusters(rows, n)
+    return _vec(dense.probe(stage(celled, "cells"), centres, rows.where("indexid % 50 = 0").withColumnRenamed("indexid", "qid"), 10, -(-2 * n // 3)))
+
+
 # Fusion: documents and vectors meet in doc_id = vec_id
 
 _SIDES = f"""WITH {bm25_sql(["thtion ering ander"], 200)},

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import segment, tokenize
 from corvane.functions.markdown import markdown
 from corvane.functions.template import fill, rules
+from corvane.operators import packing
 from corvane.operators.workflow import Task, Workflow, accepts
 from corvane.plans.registered import query, r6, table, tokens_sql
 from corvane.sources import tabular
@@ -48,6 +49,24 @@ def tokenize_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("kinds"), F.array_min("g").alias("least"), F.array_max("g").alias("greatest"))
 
 
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda x: x <> '') AS w FROM documents),
+    t AS (SELECT doc_id, i, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+    p AS (SELECT t, row_number() OVER (ORDER BY doc_id, i) - 1 AS k, count(*) OVER () AS n FROM t)
+    SELECT k // 512 AS chunk, string_agg(t, ' ' ORDER BY k) AS text FROM p WHERE k // 512 < n // 512 OR n < 512 GROUP BY k // 512""")
+def pack_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents as one stream, in windows of 512."""
+    words = F.filter(F.split("text", r"[ \n\t]+"), lambda x: x != "")
+    return packing.concat(docs(spark, sf_dir).select("doc_id", words.alias("tokens")), "doc_id", 512).select("chunk", F.array_join("tokens", " ").alias("text"))
+
+
+@query()
+def pack_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations packed whole into windows of 512 words; tests/test_workflow.py holds it against plain Python."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("n"), words.alias("tokens"))
+    return packing.pack(rows, "n", 512).select("batch", "chunk", F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("text"))
+
+
 @query()
 def tokenize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unicode segmentation; literal pairs are in the tests."""

@@ -101,3 +101,11 @@ def test_pooling(spark, how):
 def test_context_and_labels(spark):
     rows = spark.createDataFrame([(0, 1, "alpha beta gamma", 0.9), (0, 2, "beta", 0.8), (0, 3, "alpha delta epsilon", 0.1)], "qid int, indexid long, text string, score double")
     assert [r.indexid for r in retrieval.context(rows, "+alpha", 3, minscore=0.5).collect()] == [1]
+
+
+def test_recall_of_cells_over_the_table(spark, tiny):
+    ids, x = vec(spark, tiny)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {(r.qid, r.vec_id) for r in catalogue_search.dense_cells(spark, tiny).collect()}
+    want = {(int(ids[q]), int(ids[i])) for q in np.flatnonzero(ids % 50 == 0) for i in np.lexsort((ids, -np.round(x @ x[q], 9)))[:10]}
+    assert len(found) == len(want) and len(found & want) >= 0.9 * len(want)

@@ -12,6 +12,7 @@ from corvane.functions.template import fill, rules
 from corvane.functions.vectors import hashing_encoder
 from corvane.operators import packing, retrieval
 from corvane.operators.workflow import Task, Workflow, accepts, export
+from corvane.plans import catalogue_text
 from corvane.plans.app import App
 from corvane.plans.engine import Index, Settings
 from corvane.sources import tabular
@@ -166,6 +167,12 @@ def test_streams_of_tokens(spark):
     assert packing.concat(df.where("false"), "n", 5).count() == 0
 
 
+def test_packed_turns_as_in_plain_python(spark, tiny):
+    rows = sorted((r.conv_id, r.turn, r.text.split()) for r in spark.read.parquet(f"{tiny}/conversations.parquet").collect())
+    want = [" ".join(c) for b in range(0, len(rows), 1000) for c in packing.packed([list(w) for *_, w in rows[b : b + 1000] if w], 512)]
+    assert [r.text for r in catalogue_text.pack_records(spark, tiny).orderBy("batch", "chunk").collect()] == want
+
+
 def test_answers(spark):
     asked = spark.createDataFrame([(0, "apple pie?"), (1, None)], "qid int, prompt string")
     found = spark.createDataFrame([(0, 7, "apple pie? yes"), (0, 8, "nothing")], "qid int, indexid long, text string")
