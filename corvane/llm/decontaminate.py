@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.shared import fresh, id_type, map_text, slices, stage
-from corvane.llm.words import U, doc_of, gram_starts, grams, mix, words
+from corvane.llm.shared import anti_by_id, fresh, id_type, map_text, stage
+from corvane.llm.words import U, gram_starts, grams, mix, words
 
 K, WINDOW = 8, 6
 LEAST = K + WINDOW - 1
@@ -241,24 +241,14 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id"
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without those that share a span with a test item. Rows that miss the sieve pass where they lie."""
+    """``docs`` without those that share a span with a test item.
+
+    Texts are judged once, and rows go by the SHA-256 of theirs; the digests of
+    contaminated texts are broadcast only up to a checked number.
+    """
     items, prints = _tests(bench, item_id, item_text)
-    sieve = _sieve(prints)
-
-    @F.arrow_udf(T.BooleanType())
-    def suspect(column: pa.Array) -> pa.Array:
-        out, done = np.zeros(len(column), bool), 0
-        for batch in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
-            w = words(batch.column(0))
-            at, h = fingerprints(w.hash, w.offsets)
-            hit = at[_passes(sieve.value, h)]
-            out[done + np.unique(doc_of(w.offsets)[hit])] = True
-            done += batch.num_rows
-        return pa.array(out)
-
-    (row,) = fresh(docs, "suspect_row")
-    marked = docs.withColumn(row, F.when(suspect(F.col(text)), F.lit(True)).otherwise(F.lit(False)))
-    some = stage(marked.where(row).withColumn(row, F.expr("uuid()")), "suspects")
-    hashed = stage(_prints(some.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), "doc_id", sieve).withColumn("row", F.col("doc_id")), "suspect_words")
-    bad = _hits(hashed, items, prints, "doc_id").select(F.col("doc_id").alias(row)).distinct()
-    return marked.where(~F.col(row)).select(*docs.columns).unionByName(some.join(bad, row, "left_anti").select(*docs.columns))
+    (digest,) = fresh(docs, "text_digest")
+    rows = docs.where(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("doc_id"), F.col(text).alias("text"))
+    some = stage(_prints(rows, "doc_id", _sieve(prints)).dropDuplicates(["doc_id"]).withColumn("row", F.col("doc_id")), "suspects")
+    bad = stage(_hits(some, items, prints, "doc_id").select(F.col("doc_id").alias(digest)).distinct(), "contaminated")
+    return anti_by_id(docs.withColumn(digest, F.sha2(F.col(text), 256)), digest, bad, 500_000).select(*docs.columns)
