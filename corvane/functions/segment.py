@@ -23,3 +23,12 @@ def segments(text: Column, by: str, minlength: int = 0, join: bool = False, clea
         parts = F.transform(parts, clean)
     parts = F.filter(parts, lambda x: (F.length(x) >= max(1, minlength)) & (x != ""))
     return F.array_join(parts, " ") if join else parts
+
+
+def chunks(text: Column, size: int, overlap: int = 0) -> Column:
+    """Windows of ``size`` words, each with the last ``overlap`` words of the one before; the last may be shorter. Null for null, none without words."""
+    if not 0 <= overlap < size:
+        raise ValueError("a window has to be longer than its overlap")
+    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - overlap), F.lit(size - overlap))
+    return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))).when(text.isNotNull(), F.array().cast("array<string>"))

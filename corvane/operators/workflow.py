@@ -130,6 +130,9 @@ def templated(template: str, columns: dict[str, str], strict: bool = True) -> Ta
     return Task([lambda x: fill(template, {name: x[c] for name, c in columns.items()}, strict)])
 
 
-def export(rows: DataFrame, path: str, kind: str = "csv") -> None:
-    """Rows as CSV, JSON or Parquet files."""
+def export(rows: DataFrame, path: str, kind: str = "csv", stamp: datetime | None = None) -> str:
+    """Rows as CSV, JSON or Parquet files; ``stamp`` goes into the folder's name, which is returned."""
+    if stamp:
+        path = f"{path.rstrip('/')}-{stamp:%Y%m%d%H%M%S}"
     rows.write.mode("overwrite").format(kind).option("header", True).save(path)
+    return path

@@ -102,6 +102,19 @@ def token_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("indexid", F.col("pos").cast("long").alias("pos"), "token", r6("weight").alias("weight"))
 
 
+@query(f"""WITH {postings_sql("part", "p_partkey", "p_name")},
+    w AS (SELECT indexid, dl, pos - 1 AS pos, w[pos] AS token FROM (SELECT indexid, w, len(w) AS dl, unnest(range(1, len(w) + 1)) AS pos FROM tok)),
+    x AS (SELECT w.indexid, w.pos, w.token, {BM25_SQL} AS weight FROM w JOIN post ON post.indexid = w.indexid AND post.term = w.token JOIN df ON df.term = w.token, stats),
+    g AS (SELECT tag, count(*) AS n FROM (SELECT unnest(string_split_regex(p_name, '\\s+')) AS tag FROM part), (SELECT count(*) AS total FROM part) WHERE tag <> '' GROUP BY tag, total HAVING count(*) >= total * 0.005::double),
+    y AS (SELECT indexid, pos, token, weight, n, max(weight) OVER (PARTITION BY indexid) AS most, max(n) OVER (PARTITION BY indexid) AS most_n FROM x LEFT JOIN g ON tag = token)
+    SELECT indexid, pos, token, round(CASE WHEN n IS NOT NULL THEN greatest(weight, most * n / most_n) ELSE weight END, 6) AS weight FROM y""".replace("* dl /", "* w.dl /"))
+def token_weights_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that are frequent tags are lifted towards their row's greatest weight."""
+    part = table(spark, sf_dir, "part")
+    rows = scoring.Terms.of(part, "p_partkey", "p_name").weights(scoring.tag_counts(part, "p_name"))
+    return rows.select("indexid", F.col("pos").cast("long").alias("pos"), "token", r6("weight").alias("weight"))
+
+
 @query("""WITH t AS (SELECT unnest(string_split_regex(p_type, '\\s+')) AS tag FROM part), n AS (SELECT count(*) AS total FROM part)
     SELECT tag, count(*) AS n FROM t, n WHERE tag <> '' GROUP BY tag, total HAVING count(*) >= total * 0.005::double""")
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +203,18 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vec(dense.sparse_search(rows, rows.withColumnRenamed("indexid", "qid"), 3))
 
 
+@query("""WITH f AS (SELECT vec_id, i AS dim, embedding[i]::double AS x FROM embeddings, range(1, 65) AS r(i) WHERE embedding[i] > 0),
+    s AS (SELECT q.vec_id AS qid, f.vec_id, sum(f.x * q.x) AS score FROM f JOIN f AS q USING (dim) WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+    t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) <= 3),
+    o AS (SELECT vec_id AS qid, sum(x * x) / 0.5::double AS own FROM f GROUP BY vec_id)
+    SELECT qid, vec_id, round(score / greatest(own, 0.5::double, max(score) OVER (PARTITION BY qid)), 6) AS score FROM t JOIN o USING (qid)""")
+def sparse_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth row asks all rows by their positive parts; scores are brought to 0..1."""
+    rows = corpus(spark, sf_dir).select("indexid", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double")).where("value > 0")
+    asked = rows.where("indexid % 50 = 0").withColumnRenamed("indexid", "qid")
+    return _vec(dense.normalise_sparse(dense.sparse_search(rows, asked, 3), asked, 0.5))
+
+
 @query("""WITH m AS (SELECT vec_id, embedding[1:16]::double[] AS a, embedding[17:32]::double[] AS b, embedding[33:48]::double[] AS c, embedding[49:64]::double[] AS d FROM embeddings),
     t AS (SELECT vec_id, unnest([a, b, c, d]) AS v FROM m),
     x AS (SELECT m.vec_id, t.vec_id AS qid, greatest(list_inner_product(t.v, m.a), list_inner_product(t.v, m.b), list_inner_product(t.v, m.c), list_inner_product(t.v, m.d)) AS best FROM t, m WHERE t.vec_id <> m.vec_id),

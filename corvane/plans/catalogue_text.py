@@ -49,6 +49,13 @@ def tokenize_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("kinds"), F.array_min("g").alias("least"), F.array_max("g").alias("greatest"))
 
 
+@query("""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark)
+    SELECT item_id, i AS pos, array_to_string(w[i * 15 + 1:i * 15 + 20], ' ') AS part FROM (SELECT item_id, w, unnest(range(0, greatest(1, ceil((len(w) - 5) / 15.0)::bigint))) AS i FROM w WHERE len(w) > 0)""")
+def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that overlap by 5."""
+    return exploded(table(spark, sf_dir, "benchmark"), "item_id", segment.chunks(F.col("text"), 20, 5))
+
+
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda x: x <> '') AS w FROM documents),
     t AS (SELECT doc_id, i, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
     p AS (SELECT t, row_number() OVER (ORDER BY doc_id, i) - 1 AS k, count(*) OVER () AS n FROM t)
@@ -165,7 +172,7 @@ def template_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def auto_uuid5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name-based ids of part names; held against the standard library in the tests."""
+    """Name-based ids of part names; tests/test_text.py holds it against the standard library."""
     return table(spark, sf_dir, "part").select("p_partkey", uuid5(F.col("p_name")).alias("id"))
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import markdown, segment, tokenize
+from corvane.operators import scoring
+from corvane.plans import catalogue_text
+from corvane.sources.content import uuid5
 
 
 def one(spark, text, f):
@@ -64,3 +68,34 @@ def test_markdown(spark):
         assert part in out[1], part
     assert "bad" not in out[1] and not re.search("x</style", out[1])
     assert out[2] is None
+
+
+def test_ids_by_name_as_the_standard_library_makes_them(spark, tiny):
+    rows = spark.read.parquet(f"{tiny}/part.parquet").collect()
+    found = {r.p_partkey: r.id for r in catalogue_text.auto_uuid5(spark, tiny).collect()}
+    assert found == {r.p_partkey: str(uuid.uuid5(uuid.NAMESPACE_DNS, r.p_name)) for r in rows}
+    odd = ["", "é漢", "x" * 1000]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select(uuid5(F.col("t"))).collect()
+    assert [r[0] for r in got] == [str(uuid.uuid5(uuid.NAMESPACE_DNS, t)) for t in odd]
+
+
+def test_windows_of_words(spark):
+    cut = lambda t, n, o: one(spark, t, lambda c: segment.chunks(c, n, o))
+    assert cut("a b c d e", 2, 0) == ["a b", "c d", "e"] and cut("a b c d e", 3, 1) == ["a b c", "c d e"] and cut(" a ", 3, 2) == ["a"]
+    assert cut("", 3, 0) == [] and cut(None, 3, 0) is None
+    with pytest.raises(ValueError, match="overlap"):
+        segment.chunks(F.col("t"), 3, 3)
+
+
+def test_terms_index(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "red apple apple"), (1, "red pear"), (2, "red red plum"), (3, None), (4, "")], "id long, text string")
+    plain = scoring.Terms.of(rows, "id", "text")
+    ask = lambda t, **k: [(r.qid, r.indexid, round(r.score, 9)) for r in t.search(["red pear", "ap*", "none"], 5, **k).orderBy("qid", F.desc("score"), "indexid").collect()]
+    want = ask(plain)
+    assert [x[:2] for x in want] == [(0, 1), (0, 2), (0, 0), (1, 0)]
+    assert ask(plain.build()) == want
+    plain.build(str(tmp_path / "t"))
+    assert ask(scoring.Terms.load(spark, str(tmp_path / "t"))) == want
+    assert [x[:2] for x in ask(plain, cutoff=0.5)] == [(0, 1), (1, 0)]  # red is in most documents
+    assert plain.build().corpus().first() == plain.corpus().first()
+    assert scoring.Terms.of(rows.where("false"), "id", "text").search(["red"], 5).count() == 0

@@ -109,3 +109,19 @@ def test_recall_of_cells_over_the_table(spark, tiny):
     found = {(r.qid, r.vec_id) for r in catalogue_search.dense_cells(spark, tiny).collect()}
     want = {(int(ids[q]), int(ids[i])) for q in np.flatnonzero(ids % 50 == 0) for i in np.lexsort((ids, -np.round(x @ x[q], 9)))[:10]}
     assert len(found) == len(want) and len(found & want) >= 0.9 * len(want)
+
+
+def test_sparse_cells(spark):
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random((200, 30)) < 0.2, rng.random((200, 30)), 0.0)
+    x[7] = 0
+    rows = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(200) for j in range(30) if x[i, j]], "indexid long, dim int, value double")
+    celled, centres = dense.sparse_cells(rows, 8)
+    assert celled.count() == rows.count()
+    asked = rows.where("indexid % 50 = 0").withColumnRenamed("indexid", "qid")
+    exact = {(r.qid, r.indexid) for r in dense.sparse_search(rows, asked, 5).collect()}
+    assert {(r.qid, r.indexid) for r in dense.sparse_probe(celled, centres, asked, 5, 8).collect()} == exact
+    some = {(r.qid, r.indexid) for r in dense.sparse_probe(celled, centres, asked, 5, 6).collect()}
+    assert len(some & exact) >= 0.7 * len(exact)
+    tops = celled.where("cell >= 0").groupBy("cell", "dim").agg(F.max("value").alias("value"))
+    assert sorted(map(tuple, tops.collect())) == sorted(map(tuple, centres.collect()))
