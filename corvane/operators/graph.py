@@ -288,6 +288,28 @@ class Graph:
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         self.edges.write.mode("overwrite").parquet(f"{path}/edges")
 
+    def json_lines(self) -> DataFrame:
+        """(value): a JSON object for each node (``{"node": ...}``) and edge (``{"edge": ...}``)."""
+        one = lambda df, kind: df.select(F.to_json(F.struct(F.struct(*df.columns).alias(kind))).alias("value"))
+        return one(self.nodes, "node").unionByName(one(self.edges, "edge"))
+
+    @classmethod
+    def from_json_lines(cls, lines: DataFrame, attributes: str = "indexid long, id string, text string") -> Graph:
+        """The graph of such lines; ``attributes`` is the schema of nodes."""
+        kind = f"node struct<{', '.join(': '.join(a.split()) for a in attributes.split(','))}>, edge struct<src: long, dst: long, weight: double>"
+        rows = lines.select(F.from_json("value", kind).alias("x"))
+        return cls(rows.where("x.node is not null").select("x.node.*"), rows.where("x.edge is not null").select("x.edge.*"))
+
+    def save_jdbc(self, url: str, properties: dict[str, str] | None = None, prefix: str = "") -> None:
+        """Nodes and edges as tables of a relational database, which are replaced."""
+        self.nodes.write.jdbc(url, prefix + "nodes", "overwrite", properties or {})
+        self.edges.write.jdbc(url, prefix + "edges", "overwrite", properties or {})
+
+    @classmethod
+    def load_jdbc(cls, spark, url: str, properties: dict[str, str] | None = None, prefix: str = "") -> Graph:  # noqa: ANN001
+        found = [spark.read.jdbc(url, prefix + name, properties=properties or {}) for name in ("nodes", "edges")]
+        return cls(*(t.toDF(*(c.lower() for c in t.columns)) for t in found))
+
     @classmethod
     def load(cls, spark, path: str) -> Graph:  # noqa: ANN001
         return cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))

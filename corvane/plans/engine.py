@@ -98,6 +98,7 @@ class Index:
     axes: np.ndarray | None = None
     cells: tuple[DataFrame, np.ndarray] | None = None
     words: scoring.Terms | None = None
+    translator: Callable[[str], str] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -110,7 +111,9 @@ class Index:
         ``indexes``: further indexes by name, each over another text column with its own settings.
         """
         settings = settings or Settings()
-        table = Content.of(docs, id, settings.columns, tags, **content)
+        # Where nothing is indexed, rows without text are still found, by their id.
+        bare = not (settings.keyword or settings.dense or vector or indexes)
+        table = Content.of(docs, id, settings.columns, tags, **{"idtext": bare, **content})
         self = cls(table, settings, encoder=encoder or hashing_encoder())
         if vector:
             self.vectors, self.given = given_vectors(table.sections, docs, id, vector), True
@@ -326,6 +329,8 @@ class Index:
     def search(self, query: str, limit: int | None = None, weights: float | None = None, index: str | None = None, parameters: dict[str, Any] | None = None) -> DataFrame:
         """The rows of SQL, of a path query, or (id, text, score) of the best rows for a text."""
         limit = limit or self.settings.limit
+        if self.translator is not None and not issql(query) and not cypher.isquery(query):
+            query = self.translator(query)  # plain words to a query, by a model or by rules
         if self.graph is not None and cypher.isquery(query):
             return self.cypher(query, limit)
         if issql(query):

@@ -68,14 +68,15 @@ class Content:
     schema: T.StructType | None = None
 
     @classmethod
-    def of(cls, docs: DataFrame, id: str | None, columns: Columns | None = None, tags: str | None = None, order: list[str] | None = None, offset: int = 0, now: datetime | None = None, autoid: str = "int") -> Content:
+    def of(cls, docs: DataFrame, id: str | None, columns: Columns | None = None, tags: str | None = None, order: list[str] | None = None, offset: int = 0, now: datetime | None = None, autoid: str = "int", idtext: bool = False) -> Content:
         """Content from a table of documents.
 
         All rows go to ``documents`` (of rows with one id the last in order);
         those with text (else an object) get a section and an indexid. Without
         an id, rows get numbers, or name-based ids (``autoid`` "uuid5"). A row
         whose id is null gets the name-based id of its text and data, so such
-        rows stay apart unless they are equal. An empty table gives empty ones.
+        rows stay apart unless they are equal. With ``idtext`` a row without
+        text or object has its id as text. An empty table gives empty ones.
         """
         columns = columns or Columns()
         entry = F.lit(now) if now else F.current_timestamp()
@@ -91,6 +92,7 @@ class Content:
         sort = [c for c in rows.columns if c.startswith("__o")] or ["text", "data"]
         if not id and autoid == "int":
             rows = numbered(rows, *sort, start=offset, name="n").withColumn("id", F.col("n").cast("string")).drop("n")
+        rows = rows if not (idtext and id) else rows.withColumn("text", F.when(F.col("text").isNull() & F.col("object").isNull(), F.col("id")).otherwise(F.col("text")))
         indexed = numbered(rows.where("text is not null or object is not null"), *sort, start=offset, ties=("text", "data"))
         sections = indexed.select("indexid", "id", "text", "tags", "entry")
         # The last row of an id, found by a partial aggregation: an id that many rows share isn't sorted.

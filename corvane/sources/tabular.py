@@ -44,6 +44,13 @@ def read_files(spark: SparkSession, path: str, allowed: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def list_files(spark: SparkSession, path: str, allowed: str) -> DataFrame:
+    """(path, length, modificationTime) of files under an allowed folder, without reading them."""
+    if not within(path, allowed):
+        raise ValueError(f"{path} is not in {allowed}")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+
+
 def read_segments(spark: SparkSession, path: str, allowed: str, by: str | None = "paragraphs", minlength: int = 0) -> DataFrame:
     """(path, pos, text) of text and HTML files under an allowed folder: HTML as Markdown, then cut into segments (None: whole).
 

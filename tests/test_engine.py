@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zipfile
+from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
@@ -13,6 +15,7 @@ from corvane.operators import dense, fusion
 from corvane.operators.graph import Graph
 from corvane.plans.engine import Index, Settings
 from corvane.plans.shards import merge_shards, order_of, shard_of
+from corvane.sources import archive
 from corvane.sources.content import Columns, Content, numbered
 from corvane.streaming import ingest, windows
 
@@ -268,3 +271,36 @@ def test_cells_of_an_index(spark):
     near = [r.indexid for r in index.clustered(8, 8).nearest(q, 5).orderBy(F.desc("score")).collect()]
     assert near == [r.indexid for r in index.nearest(q, 5).orderBy(F.desc("score")).collect()]
     assert index.clustered().settings.probes >= 4
+
+
+def test_translated_queries(index):
+    asked = replace(index, translator=lambda q: f"select id from d where similar('{q}', 1, 0.0) and id > 2")
+    assert ids(asked.search("lottery")) in (["3"], ["4"]) and asked.search("select id from d").count() == 3
+
+
+def test_rows_without_text_where_nothing_is_indexed(spark):
+    rows = spark.createDataFrame([(1, None, 5), (2, "two", 6)], "id long, text string, n int")
+    assert [tuple(r) for r in Index.of(rows, "id", Settings(keyword=False)).sql("select id, text, n from d order by id").collect()] == [("1", "1", 5), ("2", "two", 6)]
+    assert Index.of(rows, "id").count() == 1
+
+
+def test_archive(spark, index, tmp_path):
+    index.save(str(tmp_path / "i"))
+    archive.archive(spark, str(tmp_path / "i"), str(tmp_path / "i.zip"))
+    archive.extract(spark, str(tmp_path / "i.zip"), str(tmp_path / "j"))
+    assert Index.load(spark, str(tmp_path / "j")).search("bear attack", 1).first()["id"] == "2"
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../out", "x")
+    with pytest.raises(ValueError, match="leads out"):
+        archive.extract(spark, str(tmp_path / "bad.zip"), str(tmp_path / "k"))
+
+
+def test_graphs_as_lines_and_in_a_database(spark, index, tmp_path):
+    g = index.with_graph(2, -1.0).graph
+    nodes, edges = sorted(map(tuple, g.nodes.collect())), sorted(map(tuple, g.edges.collect()))
+    back = Graph.from_json_lines(g.json_lines())
+    assert sorted(map(tuple, back.nodes.collect())) == nodes and [x[:2] for x in sorted(map(tuple, back.edges.collect()))] == [x[:2] for x in edges]
+    url, kinds = f"jdbc:derby:{tmp_path}/g;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    g.save_jdbc(url, kinds)
+    back = Graph.load_jdbc(spark, url, kinds)
+    assert sorted(map(tuple, back.nodes.collect())) == nodes and sorted(map(tuple, back.edges.collect())) == edges
