@@ -8,8 +8,10 @@ XOR of two sketches, J = 1 + n / (4 k) * ln(1 - 2 d / n) for n bits and k
 samples, so a population count judges a candidate. The count is noisy (its
 standard deviation at J = 0.5 is about 10 bits, or 0.055 of J), so it only
 accepts from ``SLACK`` over the threshold on and refuses from ``SLACK`` under it
-on; candidates between are settled by the exact Jaccard similarity of their
-shingle sets, unless accepted ones join them already.
+on. Candidates between are unclear: a bucket gives away only as many of them as
+hold its members together, and in what they hold together all documents are
+settled by the exact Jaccard similarity of their shingle sets, one pair for each
+two groups that meet. So no step passes on all pairs of a group.
 
 Documents with equal samples are folded into the least doc_id among them
 first, with map-side combining, so crowds of copies cost nothing later. In a
@@ -28,7 +30,7 @@ document counts as its least sketch. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -49,6 +51,8 @@ THRESHOLD = 0.5
 SLACK = 0.2
 #: Members of a bucket that are compared at a time.
 CHUNK = 1 << 14
+#: Members of an unclear group whose shingle sets are compared at a time.
+SETTLED = 1 << 10
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -182,8 +186,11 @@ def _chunks(rows: pa.Table, keep: np.ndarray, inside: np.ndarray, chunk: int) ->
 
 
 def unclear(sketches: np.ndarray, edges: list[tuple[int, int]], most: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs at most ``most`` bits apart between the trees of ``link``: a member, and later ones (of the other ``side``)."""
-    tree = np.arange(len(sketches))
+    """Of the pairs at most ``most`` bits apart between the trees of ``link`` (and between sides), those that span the groups which all of them make.
+
+    Every member that such a pair has is in one of those given.
+    """
+    tree, group = np.arange(len(sketches)), np.arange(len(sketches))
     for u, v in edges:
         tree[v] = tree[u]
     if (tree == tree[0]).all():
@@ -195,7 +202,11 @@ def unclear(sketches: np.ndarray, edges: list[tuple[int, int]], most: int, side:
         others = u + 1 + np.flatnonzero(other)
         near = others[np.bitwise_count(sketches[others] ^ sketches[u]).sum(1) <= most]
         if len(near):
-            yield u, near
+            found, first = np.unique(group[near], return_index=True)
+            new = found != group[u]
+            if new.any():
+                group[np.isin(group, found[new])] = group[u]
+                yield u, near[first[new]]
 
 
 def block_edges(sketches: np.ndarray, side: np.ndarray, clear: int, most: int) -> tuple[list[tuple[int, int]], Iterator[tuple[int, np.ndarray]]]:
@@ -233,7 +244,6 @@ def _pairs(batches: Iterator[pa.RecordBatch], clear: int, most: int) -> Iterator
         apart = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1)
         two, apart = two[apart <= most], apart[apart <= most]
         a, b, sure = [two], [two + 1], [apart <= clear]
-        held = 0
         for lo, hi in zip(firsts, lasts):
             if hi - lo <= 2:
                 continue
@@ -247,46 +257,31 @@ def _pairs(batches: Iterator[pa.RecordBatch], clear: int, most: int) -> Iterator
                 a.append(np.full(len(near), lo + u))
                 b.append(lo + near)
                 sure.append(np.zeros(len(near), bool))
-                held += len(near)
-                if held > 1 << 20:
-                    yield pairs(a, b, sure)
-                    a, b, sure, held = [two[:0]], [two[:0]], [np.zeros(0, bool)], 0
         yield pairs(a, b, sure)
 
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        one = pa.Table.from_batches([batch])
-        t = one if held is None else pa.concat_tables([held, one])
-        bucket, block = t.column(0).to_numpy(), t.column(1).to_numpy()
-        other = np.flatnonzero((bucket != bucket[-1]) | (block != block[-1]))
-        whole = int(other[-1]) + 1 if len(other) else 0
-        held = t.slice(whole)
-        if whole:
-            yield from edges_of(t.slice(0, whole).combine_chunks())
-    if held is not None:
-        yield from edges_of(held.combine_chunks())
+    yield from _whole_blocks(batches, edges_of)
 
 
-def near_edges(reps: DataFrame, threshold: float, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b, sure) of the ids in ``reps`` (rep, bands, sketch): those that span the sure groups of each bucket, and the unclear ones.
+def blocks(rows: DataFrame, chunk: int) -> DataFrame:
+    """(bucket, block, chunk, rep) of (bucket, rep), for buckets of several: a group to compare for each pair of a bucket's chunks.
 
-    A bucket of more than ``chunk`` members is compared in blocks of two chunks,
-    each a group of its own for the shuffle; a pair of it lies in one block.
+    A bucket of at most ``chunk`` members is one block. A pair of a bucket lies in one block.
     """
-    kind = id_type(reps, "rep")
     long = T.LongType()
-    buckets = reps.select(F.explode("bands").alias("bucket"), "rep").repartition("bucket").sortWithinPartitions("bucket")
-    crowded = stage(buckets.mapInArrow(partial(_crowded, chunk=chunk), T.StructType([T.StructField("bucket", long), T.StructField("rep", kind), T.StructField("chunk", long)])), "crowded")
+    ordered = rows.select("bucket", "rep").repartition("bucket").sortWithinPartitions("bucket")
+    crowded = stage(ordered.mapInArrow(partial(_crowded, chunk=chunk), T.StructType([T.StructField("bucket", long), T.StructField("rep", id_type(rows, "rep")), T.StructField("chunk", long)])), "crowded")
     hot = stage(crowded.where("chunk > 0").groupBy("bucket").agg(F.max("chunk").alias("last")), "hot_buckets")
-    members = crowded.join(reps.select("rep", "sketch"), "rep")
-    block = F.lit(0).cast("long").alias("block")
-    if not hot.isEmpty():
-        members = members.join(hot, "bucket", "left")
-        ends = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long"))), lambda i: F.shiftleft(F.least(i, F.col("chunk")), 31) + F.greatest(i, F.col("chunk")))
-        block = F.explode(ends).alias("block")
-    members = members.select("bucket", block, "chunk", "rep", "sketch").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    if hot.isEmpty():
+        return crowded.select("bucket", F.lit(0).cast("long").alias("block"), "chunk", "rep")
+    ends = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long"))), lambda i: F.shiftleft(F.least(i, F.col("chunk")), 31) + F.greatest(i, F.col("chunk")))
+    return crowded.join(hot, "bucket", "left").select("bucket", F.explode(ends).alias("block"), "chunk", "rep")
+
+
+def near_edges(reps: DataFrame, threshold: float, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b, sure) of the ids in ``reps`` (rep, bands, sketch): those that span the sure groups of each bucket, and those that span the unclear ones."""
+    kind = id_type(reps, "rep")
+    members = blocks(reps.select(F.explode("bands").alias("bucket"), "rep"), chunk).join(reps.select("rep", "sketch"), "rep")
+    members = members.select("bucket", "block", "chunk", "rep", "sketch").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     clear, most = farthest(threshold + SLACK), farthest(threshold - SLACK)
     return members.mapInArrow(partial(_pairs, clear=clear, most=most), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sure", T.BooleanType())]))
 
@@ -304,17 +299,87 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_text(docs, "text", T.StructType([T.StructField("doc_id", id_type(docs, "doc_id")), T.StructField("shingles", T.ArrayType(T.LongType()))]), run)
 
 
-def settled(pairs: DataFrame, docs: DataFrame, threshold: float, most: int = 4_000_000) -> DataFrame:
-    """Of the staged ``pairs`` (a, b), those whose shingle sets in ``docs`` (doc_id, text) have the Jaccard similarity ``threshold``.
+def joined(sketches: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], most: int, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of one block, by exact Jaccard similarity, that join different roots; one for each two groups that meet."""
+    size = np.array([len(x) for x in sets])
+    starts = np.r_[0, np.cumsum(size)]
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(codes), bool)
+    group, out, two = root.copy(), [], not (side == side[0]).all()
+    for u in range(len(sets) - 1):
+        other = group[u + 1 :] != group[u]
+        if two:
+            other &= side[u + 1 :] != side[u]
+        others = u + 1 + np.flatnonzero(other)
+        near = others[np.bitwise_count(sketches[others] ^ sketches[u]).sum(1) <= most]
+        if not len(near):
+            continue
+        mine = codes[starts[u] : starts[u + 1]]
+        mark[mine] = True
+        shared = np.add.reduceat(mark[np.concatenate([codes[starts[v] : starts[v + 1]] for v in near])], np.r_[0, np.cumsum(size[near])[:-1]], dtype=np.int64)
+        mark[mine] = False
+        for v in near[shared >= threshold * (size[u] + size[near] - shared)]:
+            if group[v] != group[u]:
+                out.append((u, int(v)))
+                group[group == group[v]] = group[u]
+    return out
+
+
+def _settled(batches: Iterator[pa.RecordBatch], most: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of (bucket, block, chunk, root, sketch, shingles) in order of bucket and block: roots that belong together."""
+
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, block, chunk = (t.column(i).to_numpy() for i in range(3))
+        edge = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(block) != 0)) + 1
+        root = t.column(3).combine_chunks()
+        code = root.dictionary_encode().indices.to_numpy()
+        sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), U).reshape(-1, BITS // 64)
+        shingles = t.column(5).combine_chunks()
+        found = []
+        for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(bucket)]):
+            if hi - lo > 1:
+                sets = [shingles[int(i)].values.to_numpy() for i in range(lo, hi)]
+                found += [(lo + u, lo + v) for u, v in joined(sketch[lo:hi], code[lo:hi], chunk[lo:hi], sets, most, threshold)]
+        if found:
+            a, b = (root.take(pa.array(x)) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    yield from _whole_blocks(batches, of)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch], f: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``f`` over rows in order of bucket and block (the first two columns), cut only between blocks; a task holds a batch and one block."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one = pa.Table.from_batches([batch])
+        t = one if held is None else pa.concat_tables([held, one])
+        bucket, block = t.column(0).to_numpy(), t.column(1).to_numpy()
+        other = np.flatnonzero((bucket != bucket[-1]) | (block != block[-1]))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        held = t.slice(whole)
+        if whole:
+            yield from f(t.slice(0, whole).combine_chunks())
+    if held is not None:
+        yield from f(held.combine_chunks())
+
+
+def settled(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, chunk: int = SETTLED) -> DataFrame:
+    """(a, b): roots of staged ``members`` (rep, root, within) that belong together, by comparing the shingle sets of all that share ``within``.
 
-    Their ids are broadcast only up to ``most`` (32 MB); beyond, both sides shuffle.
+    The sets of a large group are compared in blocks of chunks. The ids are
+    broadcast only up to 4,000,000 (32 MB); beyond, both sides shuffle.
     """
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "unclear_ids")
-    wanted = docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi").distinct()
-    sets = stage(shingle_sets(wanted), "shingle_sets")
-    left, right = (sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"of_{end}")) for end in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("total"))
-    return both.where(F.col("shared") >= F.lit(threshold) * (F.col("total") - F.col("shared"))).select("a", "b").distinct()
+    kind = id_type(members, "root")
+    ids = members.select(F.col("rep").alias("doc_id"))
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= 4_000_000 else ids, "doc_id", "left_semi")
+    # Of rows that share an id the least text counts; the sketch is that of one of them.
+    sets = stage(shingle_sets(wanted.groupBy("doc_id").agg(F.min("text").alias("text"))), "shingle_sets").withColumnRenamed("doc_id", "rep")
+    rows = blocks(members.select(F.xxhash64("within").alias("bucket"), "rep"), chunk)
+    rows = rows.join(members.select("rep", "root"), "rep").join(reps.select("rep", "sketch"), "rep").join(sets, "rep")
+    rows = rows.select("bucket", "block", "chunk", "root", "sketch", "shingles").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    return rows.mapInArrow(partial(_settled, most=farthest(threshold - SLACK), threshold=threshold), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -323,14 +388,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = stage(signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "representatives")
     found = stage(near_edges(reps, threshold), "near_edges")
     roots = components(found.where("sure").select("a", "b").unionByName(signed.join(reps.select("sig", "rep"), "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    maybe = found.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = found.where("not sure").select("a", "b")
     for end in ("a", "b"):
-        maybe = maybe.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    maybe = stage(maybe.where("root_a <> root_b"), "unclear")
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    ends = stage(ends, "unclear")
+    # What unclear pairs hold together, over the roots; there all their members are settled.
+    over = components(ends.where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("within"))
+    over = over.unionByName(over.select(F.col("within").alias("root"), "within").distinct())
+    sides = ends.select(F.explode(F.array(*(F.struct(F.col(x).alias("rep"), F.col(f"root_{x}").alias("root")) for x in ("a", "b")))).alias("x")).select("x.*").distinct()
+    members = stage(sides.join(over, "root").select("rep", "root", "within"), "unclear_members")
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    joined = maybe.join(settled(maybe.select("a", "b"), rows, threshold), ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     # Each root that another one replaces is a group's least document so far, and has no row of its own yet.
-    moved = components(joined).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    moved = components(settled(members, reps.dropDuplicates(["rep"]), rows, threshold)).select(F.col("node").alias("root"), F.col("root").alias("least"))
     every = roots.join(moved, "root", "left").select(F.col("node").alias("doc_id"), F.coalesce("least", "root").alias("duplicate_of"))
     return stage(every.unionByName(moved.select(F.col("root").alias("doc_id"), F.col("least").alias("duplicate_of"))), "near_duplicates")
 

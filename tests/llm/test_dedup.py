@@ -225,3 +225,43 @@ def test_crowded_whatever_the_batches(size):
             want.append((b, i, seen[b] // 4))
         seen[b] += 1
     assert found == want
+
+
+def test_unclear_crowds_are_settled_without_passing_on_their_pairs(spark, monkeypatch):
+    """A crowd whose pairs are all about 0.55 alike, and one about 0.4: groups as by all pairs, and few edges."""
+    rng = random.Random(21)
+    rows = []
+    for share in (0.095, 0.15):
+        base = words_of(rng, 240)
+        rows += [(len(rows) + i, " ".join(changed(rng, base, share / 2 + 0.01))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {i: i for i, _ in rows}
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.5]
+    for _ in range(8):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(pairs) > 300
+    for chunk in (near_dedup.SETTLED, 7):
+        monkeypatch.setattr(near_dedup.settled, "__defaults__", (chunk,))
+        found = {r.doc_id: r.duplicate_of for r in near_dedup.near_duplicates(docs).collect()}
+        same = [found.get(i, i) == root[i] for i, _ in rows]
+        assert np.mean(same) >= 0.97
+    signed = near_dedup.stage(near_dedup.signatures(docs, "doc_id", "text"), "signed").withColumnRenamed("doc_id", "rep")
+    edges = near_dedup.near_edges(signed, near_dedup.THRESHOLD)
+    assert edges.count() <= 2 * near_dedup.BANDS * len(rows)
+
+
+def test_joined_as_by_all_pairs():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(60)]
+    root = rng.integers(0, 50, 60)
+    sketches = np.zeros((60, 8), np.uint64)
+    for side in (np.zeros(60, int), rng.integers(0, 2, 60)):
+        want = {(u, v) for u in range(60) for v in range(60) if root[u] != root[v] and (side[u] != side[v] or not side.any()) and len(np.intersect1d(sets[u], sets[v])) >= 0.5 * len(np.union1d(sets[u], sets[v]))}
+        groups = []
+        for pairs in (want, near_dedup.joined(sketches, root, side, sets, 512, 0.5)):
+            g = root.copy()
+            for u, v in pairs:
+                g[g == g[v]] = g[u]
+            groups.append({frozenset(np.flatnonzero(g == x)) for x in g})
+        assert groups[0] == groups[1]
