@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,12 @@ def canonical(edges: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def knn_edges(vectors: DataFrame, limit: int = 15, minscore: float = 0.1) -> DataFrame:
-    """Edges to each row's nearest ``limit`` other rows whose similarity is over ``minscore``, from (indexid, vector)."""
-    pairs = dense.search(vectors, vectors.select(F.col("indexid").alias("qid"), "vector"), limit, loops=False)
+def knn_edges(vectors: DataFrame, limit: int = 15, minscore: float = 0.1, cells: tuple[DataFrame, np.ndarray] | None = None, probes: int = 4) -> DataFrame:
+    """Edges to each row's nearest ``limit`` other rows whose similarity is over ``minscore``, from (indexid, vector).
+
+    Exact, by all pairs, unless ``cells`` (see ``dense.clusters``) are given, of which each row looks into ``probes``.
+    """
+    pairs = dense.neighbours(*cells, limit, probes) if cells is not None else dense.search(vectors, vectors.select(F.col("indexid").alias("qid"), "vector"), limit, loops=False)
     return canonical(pairs.where(F.col("score") > minscore).select(F.col("qid").alias("src"), F.col("indexid").alias("dst"), F.col("score").alias("weight")))
 
 

@@ -430,9 +430,9 @@ class Index:
     # Graph
 
     def with_graph(self, limit: int = 15, minscore: float = 0.1) -> Index:
-        """With a graph whose edges join rows of similar vectors."""
+        """With a graph whose edges join rows of similar vectors: exact by all pairs, or by cells where the index has them (see ``clustered``)."""
         nodes = self.content.sections.select("indexid", "id", "text")
-        return replace(self, graph=Graph(nodes, stage(knn_edges(self.vectors, limit, minscore), "edges")))
+        return replace(self, graph=Graph(nodes, stage(knn_edges(self.vectors, limit, minscore, self.cells, self.settings.probes), "edges")))
 
     def with_topics(self, **options: Any) -> Index:
         """With topics on the graph (see ``Graph.with_topics``); rows that are upserted later take those around them."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import vectors as V
-from corvane.operators import dense, retrieval
+from corvane.operators import dense, graph, retrieval
 from corvane.plans import catalogue_search
 
 
@@ -77,6 +77,20 @@ def test_cells_find_most_and_hold_all(spark):
     assert every == exact
 
 
+@pytest.mark.parametrize("chunk", [20_000, 17])
+def test_neighbours_of_all_rows_by_cells(spark, chunk):
+    rng = np.random.default_rng(14)
+    x = np.concatenate([c + 0.5 * rng.normal(size=(30, 8)) for c in rng.normal(size=(10, 8)) * 3])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(400, None)], "indexid long, vector array<double>")
+    cells = dense.clusters(rows, 8)
+    exact = {(r.qid, r.indexid) for r in dense.search(rows, rows.withColumnRenamed("indexid", "qid"), 5, loops=False).collect()}
+    assert {(r.qid, r.indexid) for r in dense.neighbours(*cells, 5, 8, chunk).collect()} == exact
+    near = {(r.qid, r.indexid) for r in dense.neighbours(*cells, 5, 3, chunk).collect()}
+    assert len(near & exact) >= 0.9 * len(exact)
+    some = {(r.src, r.dst) for r in graph.knn_edges(rows, 5, 0.1, cells, 8).collect()}
+    assert some == {(r.src, r.dst) for r in graph.knn_edges(rows, 5, 0.1).collect()}
+
+
 def test_muvera_keeps_the_order_of_late_interaction(spark):
     rng = np.random.default_rng(5)
     docs = [rng.normal(size=(4, 8)) for _ in range(30)]
