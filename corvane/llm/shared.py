@@ -41,7 +41,7 @@ def strings(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([column]) if column.offset else column
 
 
-def slices(batch: pa.RecordBatch, col: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, col: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with about ``most`` bytes of text each (one row at least), to bound memory."""
     n = batch.num_rows
     if not n:
