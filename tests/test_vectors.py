@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import vectors as V
 from corvane.operators import dense, graph, retrieval
 from corvane.plans import catalogue_search
+from corvane.plans.registered import ORACLES
 
 
 def vec(spark, tiny):
@@ -112,6 +114,16 @@ def test_pooling(spark, how):
     assert np.allclose(got[0], want) and got[1] is None and got[2] is None
 
 
+def test_values_rounded_to_zero_keep_their_sign_as_in_sql(spark, tmp_path):
+    v = [-1e-7, 1e-7, -0.0, 0.0, 1.0] + [0.0] * 59
+    spark.createDataFrame([(0, v, 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalogue_search.truncate_normalize(spark, str(tmp_path)).first().vector
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.sql(ORACLES["truncate_normalize"]).to_arrow_table().to_pylist()[0]["vector"]
+    assert [*map(repr, found)] == [*map(repr, want)]
+
+
 def test_context_and_labels(spark):
     rows = spark.createDataFrame([(0, 1, "alpha beta gamma", 0.9), (0, 2, "beta", 0.8), (0, 3, "alpha delta epsilon", 0.1)], "qid int, indexid long, text string, score double")
     assert [r.indexid for r in retrieval.context(rows, "+alpha", 3, minscore=0.5).collect()] == [1]
