@@ -103,6 +103,15 @@ def test_sparse_pairs_are_never_rows(spark, tiny):
         assert "dim" not in plan.split("MapInPandas")[0] and "MapInPandas" in plan
 
 
+def test_sparse_queries_are_sent_to_the_rows(spark, tiny):
+    """A few queries meet the rows where these are: what is shuffled are the vectors, once each."""
+    from corvane.operators.nearest import SPARSE
+
+    rows = spark.range(3000).select(F.col("id").alias("indexid"), F.array(F.lit(1.0), F.lit(2.0), F.col("id") * 1.0, F.lit(1.0)).alias("vector"))
+    plan = dense.search(rows, rows.where("indexid % 50 = 0").withColumnRenamed("indexid", "qid"), 3, measure=SPARSE)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("MapInPandas")[1].count("Exchange") == 0
+
+
 def test_sparse_search_of_odd_rows(spark):
     """A dimension that comes twice counts as the sum; nulls match nothing; text dimensions are joined."""
     rows = [(0, 1, 1.0), (0, 1, 2.0), (1, 1, 1.0), (1, 2, 4.0), (2, 3, 1.0), (3, 2, None), (4, None, 1.0), (5, 2, -1.0)]
