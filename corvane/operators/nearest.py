@@ -127,9 +127,10 @@ def _late(q: _Tokens, x: _Tokens) -> np.ndarray:
     return np.add.reduceat(best, q.starts, axis=0) / np.diff(np.r_[q.starts, len(q.rows)])[:, None]
 
 
-def _token_major(t: _Tokens) -> tuple[_Tokens, np.ndarray | None]:
+def _token_major(t: _Tokens, last: int) -> tuple[_Tokens, np.ndarray | None]:
+    """With the even array as (token, matrix, value), or (token, value, matrix)."""
     even = t.even()
-    return t, None if even is None else np.ascontiguousarray(even.transpose(1, 0, 2), np.float32)
+    return t, None if even is None else np.ascontiguousarray(even.transpose(1, 2, 0) if last == 0 else even.transpose(1, 0, 2), np.float32)
 
 
 def _late_rough(a: tuple[_Tokens, np.ndarray | None], b: tuple[_Tokens, np.ndarray | None], out: np.ndarray) -> np.ndarray:
@@ -137,16 +138,17 @@ def _late_rough(a: tuple[_Tokens, np.ndarray | None], b: tuple[_Tokens, np.ndarr
     if q is None or x is None:
         out[:] = _late(a[0], b[0])
         return out
-    best, other = (_buffer(name, out.shape) for name in ("best", "other"))
-    for i in range(len(q)):
-        np.matmul(q[i], x[0].T, out=best)
-        for j in range(1, len(x)):
-            np.maximum(best, np.matmul(q[i], x[j].T, out=other), out=best)
-        if i:
-            np.add(out, best, out=out)
-        else:
-            out[:] = best
-    out *= np.float32(1 / len(q))
+    for lo in range(0, out.shape[1], 512):  # three such parts stay in a core's cache
+        part = x[:, :, lo : lo + 512]
+        best, other, total = (_buffer(name, (len(out), part.shape[2])) for name in ("best", "other", "total"))
+        for i in range(len(q)):
+            to = best if i else total
+            np.matmul(q[i], part[0], out=to)
+            for j in range(1, len(part)):
+                np.maximum(to, np.matmul(q[i], part[j], out=other), out=to)
+            if i:
+                np.add(total, best, out=total)
+        np.multiply(total, np.float32(1 / len(q)), out=out[:, lo : lo + 512])
     return out
 
 
@@ -165,8 +167,8 @@ MAX_SIM = Measure(
     lambda value: len(value[0]) if len(value) else None,
     _late_pairs,
     lambda q, x: _error(q.rows.shape[1], _longest(q.rows), _longest(x.rows)),
-    _token_major,
-    _token_major,
+    lambda q: _token_major(q, 1),
+    lambda x: _token_major(x, 0),
     _late_rough,
 )
 
