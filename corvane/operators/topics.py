@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from corvane.functions.tokenize import alphanum
 from corvane.operators import dense
+from corvane.sources.scratch import balanced, stage
 
 
-def term_statistics(groups: DataFrame, text: str = "text") -> DataFrame:
-    """(grp, indexid, dl, term, tf, df, n, avgdl) of documents (grp, indexid, text), each group its own corpus."""
-    tokens = groups.select("grp", "indexid", alphanum(F.col(text)).alias("tokens")).where("tokens is not null")
-    rows = tokens.select("grp", "indexid", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+def term_statistics(groups: DataFrame, named: DataFrame, text: str = "text") -> DataFrame:
+    """(grp, indexid, dl, term, tf, df, n, avgdl) of documents (grp, indexid, text), each group its own corpus, for the terms of ``named`` (grp, terms).
+
+    Texts are split once; only tokens that are terms of their group leave that pass.
+    """
+    tokens = balanced(groups.select("grp", "indexid", text)).select("grp", "indexid", alphanum(F.col(text)).alias("tokens")).where("tokens is not null")
+    kept = F.filter("tokens", lambda x: F.array_contains("terms", x))
+    found = tokens.join(named, "grp", "left").select("grp", "indexid", F.size("tokens").cast("long").alias("dl"), kept.alias("kept"))
+    found = stage(found, "terms")
+    rows = found.select("grp", "indexid", "dl", F.explode("kept").alias("term"))
     tf = rows.groupBy("grp", "indexid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    per_group = tokens.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    per_group = found.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
     return tf.join(df, ["grp", "term"]).join(per_group, "grp")
 
@@ -37,10 +44,13 @@ def topic_labels(groups: DataFrame, text: str = "text", terms: int = 4, stopword
 
 def ranked(groups: DataFrame, text: str = "text", terms: int = 4, k1: float = 1.2, b: float = 0.75, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(topic, indexid, score, topicrank): documents of each topic by BM25 of its terms; groups with the same terms are one topic."""
-    stats = term_statistics(groups, text).join(topic_terms(groups, text, terms, stopwords).select("grp", "term"), ["grp", "term"])
+    best = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    named = topic_terms(groups, text, terms, stopwords).groupBy("grp").agg(F.transform(best, lambda x: x["term"]).alias("terms"))
+    named = stage(named, "topics")
+    stats = term_statistics(groups, named, text)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = stats.groupBy("grp", "indexid").agg(F.sum(score).alias("score")).join(topic_labels(groups, text, terms, stopwords), "grp")
+    rows = stats.groupBy("grp", "indexid").agg(F.sum(score).alias("score")).join(named.select("grp", F.array_join("terms", "_").alias("topic")), "grp")
     order = Window.partitionBy("topic").orderBy(F.desc(F.round("score", 9)), "indexid")
     return rows.select("topic", "indexid", "score", (F.row_number().over(order) - 1).cast("long").alias("topicrank"))
 

@@ -99,3 +99,34 @@ def test_terms_index(spark, tmp_path):
     assert [x[:2] for x in ask(plain, cutoff=0.5)] == [(0, 1), (1, 0)]  # red is in most documents
     assert plain.build().corpus().first() == plain.corpus().first()
     assert scoring.Terms.of(rows.where("false"), "id", "text").search(["red"], 5).count() == 0
+
+
+def test_unicode_words_are_python_objects_for_a_part_of_a_batch_only():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["ab cd ef " * 3000, None, "", *(["ghi jk " * 3000] * 200)]
+    tracemalloc.start()
+    found = tokenize._found(pa.array(texts), str.split)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [None if t is None else t.split() for t in texts]
+    assert most < 40 << 20  # all words of the batch at once are more than 60 MB
+    assert tokenize._found(pa.array([], pa.string()), str.split).to_pylist() == []
+
+
+def test_ngrams_of_characters_beyond_the_basic_plane(spark):
+    rows = spark.createDataFrame([("\U00020000\U00020001bc d ef", None), (None, None)], "t string, x string")
+    got = [r.g for r in rows.select(tokenize.ngrams(F.col("t"), 2, 3).alias("g")).collect()]
+    assert got == [["\U00020000\U00020001", "\U00020001b", "bc", "\U00020000\U00020001b", "\U00020001bc", "ef"], None]
+
+
+def test_only_terms_of_topics_leave_the_pass_over_texts(spark):
+    from corvane.operators import topics
+
+    rows = [("a", 1, "red blue red"), ("a", 2, "red green"), ("b", 3, "green blue"), ("b", 4, None), ("b", 4, "green"), (None, 5, "red")]
+    groups = spark.createDataFrame(rows, "grp string, indexid long, text string")
+    named = spark.createDataFrame([("a", ["red"]), ("b", ["green", "blue"])], "grp string, terms array<string>")
+    found = {(r.grp, r.indexid, r.term): (r.dl, r.tf, r.df, r.n, r.avgdl) for r in topics.term_statistics(groups, named).collect()}
+    assert found == {("a", 1, "red"): (3, 2, 2, 2, 2.5), ("a", 2, "red"): (2, 1, 2, 2, 2.5), ("b", 3, "green"): (2, 1, 2, 2, 1.5), ("b", 3, "blue"): (2, 1, 1, 2, 1.5), ("b", 4, "green"): (1, 1, 2, 2, 1.5)}
