@@ -130,3 +130,14 @@ def test_only_terms_of_topics_leave_the_pass_over_texts(spark):
     named = spark.createDataFrame([("a", ["red"]), ("b", ["green", "blue"])], "grp string, terms array<string>")
     found = {(r.grp, r.indexid, r.term): (r.dl, r.tf, r.df, r.n, r.avgdl) for r in topics.term_statistics(groups, named).collect()}
     assert found == {("a", 1, "red"): (3, 2, 2, 2, 2.5), ("a", 2, "red"): (2, 1, 2, 2, 2.5), ("b", 3, "green"): (2, 1, 2, 2, 1.5), ("b", 3, "blue"): (2, 1, 1, 2, 1.5), ("b", 4, "green"): (1, 1, 2, 2, 1.5)}
+
+
+def test_summary_of_ngrams_as_of_the_grams(spark):
+    texts = ["The cat, the catalogue; the CAT.", "ab", "", None, "\U00020000\U00020001bc d efg é́x \uffffzz", "x1_y2 x1_y2"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokenize.ngrams(F.col("t"), 3, 4).alias("g"), tokenize.ngram_summary(F.col("t"), 3, 4).alias("s"))
+    for r in rows.collect():
+        assert (r.s is None) == (r.g is None) and (r.s is None or tuple(r.s) == (len(r.g), len(set(r.g)), min(r.g, default=None), max(r.g, default=None)))
+
+
+def test_query_of_ngrams_makes_no_array_of_grams(spark, tiny):
+    assert "substring" not in catalogue_text.tokenize_ngrams(spark, tiny)._jdf.queryExecution().analyzed().toString()
