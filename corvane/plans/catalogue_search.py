@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import vectors as V
 from corvane.operators import dense, fusion, retrieval, scoring
 from corvane.plans.registered import BM25_SQL, bm25_sql, postings_sql, query, r6, table
-from corvane.sources.scratch import stage
+from corvane.sources.scratch import balanced, stage
 
 WORDS = ["thtion ering ander", "ouan eaon", "lichung schen verein", "ment elle dans"]
 
@@ -199,8 +199,8 @@ def pca_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) <= 3""")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive parts of all vectors as sparse ones, each a query too."""
-    rows = corpus(spark, sf_dir).select("indexid", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double")).where("value > 0")
-    return _vec(dense.sparse_search(rows, rows.withColumnRenamed("indexid", "qid"), 3))
+    rows = corpus(spark, sf_dir).select("indexid", dense.positive_part().alias("vector"))
+    return _vec(dense.search(rows, rows.withColumnRenamed("indexid", "qid"), 3, measure=dense.SPARSE))
 
 
 @query("""WITH f AS (SELECT vec_id, i AS dim, embedding[i]::double AS x FROM embeddings, range(1, 65) AS r(i) WHERE embedding[i] > 0),
@@ -210,9 +210,11 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT qid, vec_id, round(score / greatest(own, 0.5::double, max(score) OVER (PARTITION BY qid)), 6) AS score FROM t JOIN o USING (qid)""")
 def sparse_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth row asks all rows by their positive parts; scores are brought to 0..1."""
-    rows = corpus(spark, sf_dir).select("indexid", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double")).where("value > 0")
-    asked = rows.where("indexid % 50 = 0").withColumnRenamed("indexid", "qid")
-    return _vec(dense.normalise_sparse(dense.sparse_search(rows, asked, 3), asked, 0.5))
+    rows = balanced(corpus(spark, sf_dir)).select("indexid", dense.positive_part().alias("vector"))
+    fiftieth = corpus(spark, sf_dir).where("indexid % 50 = 0")
+    asked = fiftieth.select(F.col("indexid").alias("qid"), dense.positive_part().alias("vector"))
+    values = fiftieth.select(F.col("indexid").alias("qid"), F.explode("vector").alias("value")).withColumn("value", F.col("value").cast("double")).where("value > 0")
+    return _vec(dense.normalise_sparse(dense.search(rows, asked, 3, measure=dense.SPARSE), values, 0.5))
 
 
 @query("""WITH m AS (SELECT vec_id, embedding[1:16]::double[] AS a, embedding[17:32]::double[] AS b, embedding[33:48]::double[] AS c, embedding[49:64]::double[] AS d FROM embeddings),

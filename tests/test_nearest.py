@@ -157,3 +157,16 @@ def test_centres_are_fitted_to_a_share_of_many_vectors(spark, monkeypatch):
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and 500 < seen[0].count() <= 1000 and seen[0].rdd.getNumPartitions() > 1
     assert len(centres) == 10 and celled.count() == 3000
+
+
+def test_sparse_vectors_are_not_taken_apart(spark, tiny, monkeypatch):
+    """No row for each dimension is made, shuffled and put together again, and no table of them is written."""
+    monkeypatch.setattr(dense, "stage", lambda *_: pytest.fail("a table is written"))
+    for name in ("sparse_topk", "sparse_normalized"):
+        plan = getattr(catalogue_search, name)(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "posexplode" not in plan and "MapInPandas" in plan
+
+
+def test_positive_part(spark):
+    rows = spark.createDataFrame([([0.5, -1.0, 0.0, 2.0],), ([-1.0],), ([],), (None,), ([None, 3.0],)], "vector array<float>")
+    assert [r[0] for r in rows.select(dense.positive_part()).collect()] == [[0.0, 3.0, 0.5, 2.0], [], [], None, [1.0, 3.0]]
