@@ -17,6 +17,8 @@ import pandas as pd
 QUERIES, ROWS = 256, 2048
 #: How many candidates are scored exactly at a time.
 _PAIRS = 1 << 16
+#: How many candidates for each query of a block wait, on average, before they are ranked.
+_WAIT = 4
 _LEAST = np.finfo(np.float32).min
 
 
@@ -192,6 +194,7 @@ class Best:
         self.ids = np.zeros((len(qids), k), np.int64)
         self.scores = np.full((len(qids), k), -np.inf)
         self.least = np.full(len(qids), -np.inf)  # rounded score of the last of k, if there are so many
+        self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
     def meet(self, x: Any, ids: np.ndarray, may: Callable[[int, int, slice], np.ndarray | None] | None = None) -> None:
         """Rows ``x`` with ascending ``ids``; ``may`` says which queries (from, to) see which rows, None where none does."""
@@ -218,16 +221,31 @@ class Best:
             some[np.isnan(some)] = -np.inf
             bound[new] = np.partition(some, len(rows) - k, axis=1)[:, len(rows) - k] - 2 * slack
         bound = np.nextafter(np.maximum(bound, _LEAST).astype(np.float32), np.float32(-np.inf))
-        hits = np.flatnonzero(np.greater_equal(rough, np.maximum(bound, _LEAST)[:, None], out=_buffer("hits", rough.shape, bool)))
+        bound = np.maximum(bound, _LEAST)
+        # After some blocks few queries find anything in one; only their scores are looked through. NaN is no maximum to go by.
+        who = np.flatnonzero(~(rough.max(axis=1) < bound))
+        if not len(who):
+            return
+        if 2 * len(who) < len(rough):
+            rough, bound = np.take(rough, who, axis=0, out=_buffer("some", (len(who), len(rows))), mode="clip"), bound[who]
+        else:
+            who = np.arange(len(rough))
+        hits = np.flatnonzero(np.greater_equal(rough, bound[:, None], out=_buffer("hits", rough.shape, bool)))
         for s in range(0, len(hits), _PAIRS):
             i, j = np.divmod(hits[s : s + _PAIRS], len(rows))
-            self._merge(at, i, rows[j], m.pairs(q, x, i, j))
+            self._keep(at, len(q), i := who[i], rows[j], m.pairs(q, x, i, j))
 
-    def _merge(self, at: int, i: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    def _keep(self, at: int, n: int, i: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates wait until there are enough of them for the ``n`` queries from ``at`` on to be ranked at once."""
         good = np.isfinite(scores) & (np.round(scores, 9) >= self.least[at + i])
-        if not good.any():
-            return
-        i, ids, scores = at + i[good], ids[good], scores[good]
+        if good.any():
+            waiting = self.waiting.setdefault(at, [])
+            waiting.append((at + i[good], ids[good], scores[good]))
+            if sum(len(x[0]) for x in waiting) >= _WAIT * n:
+                self._merge(at)
+
+    def _merge(self, at: int) -> None:
+        i, ids, scores = (np.concatenate(x) for x in zip(*self.waiting.pop(at)))
         touched = np.unique(i)
         who = np.concatenate([np.repeat(touched, self.k), i])
         ids = np.concatenate([self.ids[touched].reshape(-1), ids])
@@ -241,6 +259,8 @@ class Best:
         self.least[touched] = np.round(self.scores[touched, -1], 9)
 
     def frame(self) -> pd.DataFrame:
+        for at in list(self.waiting):
+            self._merge(at)
         good = np.isfinite(self.scores)
         return pd.DataFrame({"qid": np.repeat(self.qids, self.k)[good.reshape(-1)], "indexid": self.ids[good], "score": self.scores[good]})
 

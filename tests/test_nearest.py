@@ -170,3 +170,33 @@ def test_sparse_vectors_are_not_taken_apart(spark, tiny, monkeypatch):
 def test_positive_part(spark):
     rows = spark.createDataFrame([([0.5, -1.0, 0.0, 2.0],), ([-1.0],), ([],), (None,), ([None, 3.0],)], "vector array<float>")
     assert [r[0] for r in rows.select(dense.positive_part()).collect()] == [[0.0, 3.0, 0.5, 2.0], [], [], None, [1.0, 3.0]]
+
+
+def test_candidates_of_many_blocks_are_ranked_at_once(monkeypatch):
+    """After the first blocks few rows are candidates: they wait for others, and queries without any are passed over."""
+    monkeypatch.setattr(nearest, "ROWS", 100)
+    ranked, looked, merge, pairs = [], [], nearest.Best._merge, nearest.COSINE.pairs
+    monkeypatch.setattr(nearest.Best, "_merge", lambda self, *a: (ranked.append(1), merge(self, *a))[1])
+    monkeypatch.setattr(nearest.COSINE, "pairs", lambda q, x, i, j: (looked.append(1), pairs(q, x, i, j))[1])
+    x = nearest.unit(np.random.default_rng(4).normal(size=(20_000, 8)))
+    x[7] = np.nan
+    best = nearest.Best(x[:20], np.arange(20), 3, False, nearest.COSINE)
+    best.meet(x, np.arange(len(x)))
+    found = best.frame()
+    assert len(ranked) < 40 and len(looked) < 160
+    for i in (*range(7), *range(8, 20)):
+        s = np.round(x @ x[i], 9)
+        s[[i, 7]] = -np.inf
+        assert found[found.qid == i].indexid.tolist() == np.lexsort((np.arange(len(x)), -s))[:3].tolist()
+    assert 7 not in set(found.qid) | set(found.indexid)
+
+
+def test_rows_of_a_task_are_final_unless_a_query_comes_again(spark):
+    table = spark.range(1500).select(F.col("id").alias("indexid"), F.array(F.sin("id"), F.cos(F.col("id") * 2), F.sin(F.col("id") * 3)).alias("vector"))
+    once = dense.search(table, table.withColumnRenamed("indexid", "qid"), 2)
+    again = dense.search(table, table.unionByName(table.where("indexid < 9")).withColumnRenamed("indexid", "qid"), 2)
+    windows = ["Window" in q._jdf.queryExecution().optimizedPlan().toString() for q in (once, again)]
+    assert windows == [False, True]
+    repeated = [r for r in again.collect() if r.qid < 9]
+    assert len(repeated) == 18 and all(1 - r.score < 1e-9 for r in repeated if r.indexid == r.qid)
+    assert sorted((r.qid, r.indexid) for r in once.collect() if r.qid > 8) == sorted((r.qid, r.indexid) for r in again.collect() if r.qid > 8)
