@@ -8,6 +8,7 @@ give empty or lone results.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.vectors import Encoder, encode
 from corvane.operators import dense
+from corvane.operators import rounds as held
 from corvane.sources.scratch import release, stage
 
 
@@ -140,7 +142,11 @@ class Graph:
 
         It runs until no label changes, or for ``rounds``. Where labels come
         back in turns instead, each node gets the least of those it takes in a turn.
+        Up to ``rounds.HELD`` nodes a round is one pass over the links without a
+        shuffle, and labels go through the driver; beyond it a round is joins.
         """
+        if (ids := held.numbers(self.nodes.select("indexid"))) is not None:
+            return self._held_labels(ids, rounds)
         links = stage(self.both(), "links")
         labels = self.nodes.select("indexid", F.col("indexid").alias("label"))
         marks, passed = [], []
@@ -157,6 +163,30 @@ class Graph:
             labels = stage(labels.join(best, labels.indexid == best.src, "left").select("indexid", F.coalesce("new", "label").alias("label")), "labels")
         return labels
 
+    def _held_labels(self, ids: np.ndarray, rounds: int | None) -> DataFrame:
+        links = held.Rounds.of(self.both(), ids)
+
+        def step(labels: np.ndarray) -> np.ndarray:
+            found, new = links.ask(held.vote, "place int, label int", labels), labels.copy()
+            new[found["place"]] = found["label"]
+            return new
+
+        labels, seen, done = np.arange(len(ids), dtype=np.int32), {}, 0
+        while rounds is None or done < rounds:
+            if rounds is None:
+                mark = hashlib.blake2b(labels.tobytes()).digest()
+                if mark in seen:
+                    least = labels
+                    for _ in range(done - seen[mark] - 1):  # the rest of the turn once more
+                        labels = step(labels)
+                        least = np.minimum(least, labels)
+                    labels = least
+                    break
+                seen[mark] = done
+            labels, done = step(labels), done + 1
+        links.release()
+        return links.labelled(self.nodes, labels)
+
     def components(self) -> DataFrame:
         """(indexid, label): the least node of each node's component."""
         labels = stage(self.nodes.select("indexid", F.col("indexid").alias("label")), "labels")
@@ -176,9 +206,9 @@ class Graph:
         In a round each node looks for the community around it with the
         greatest gain, and a half of the nodes (another one each time, by hash)
         may move. Local moving ends when no node wants to move, or when the
-        modularity hasn't grown for two rounds; the best round counts. Only
-        totals reach the driver. A label is the least member's number; nodes
-        without edges stay alone.
+        modularity hasn't grown for two rounds; the best round counts. A label
+        is the least member's number; nodes without edges stay alone. Only
+        totals reach the driver.
         """
         edges = stage(self.both().groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "links")
         total = edges.agg(F.sum("weight")).first()[0]

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators import graph, rounds
 from corvane.operators.graph import Graph
 from corvane.plans.engine import Index, Settings
 
@@ -107,6 +108,34 @@ def test_labels_until_they_settle(spark):
     assert found == want and found[20] == found[21] == 20 and found[30] == 30
 
 
+@pytest.mark.parametrize("algorithm", ["lpa"])
+def test_rounds_without_a_shuffle_as_by_joins(spark, monkeypatch, algorithm):
+    """Rounds write no table and shuffle nothing; repeated links, loops and lone nodes are as in the joins."""
+    rng = random.Random(11)
+    nodes = [*range(5, 400, 3), 1 << 40, -7]
+    edges = [(a, b, rng.choice([0.25, 0.5, 0.75])) for a in nodes for b in nodes if a < b and rng.random() < (0.3 if a // 50 == b // 50 else 0.01)]
+    edges += [(5, 5, 0.5), (5, 8, 0.25), (8, 5, 0.25), (-7, 1 << 40, 1.0)]
+    g = graph_of(spark, [*nodes, 2000], edges)
+    written, asked = [], []
+    stage, ask = rounds.stage, rounds.Rounds.ask
+    with monkeypatch.context() as m:
+        m.setattr(rounds, "stage", lambda df, name: (written.append(name), stage(df, name))[1])
+        m.setattr(graph, "stage", lambda *_: pytest.fail("a round writes a table"))
+        m.setattr(rounds.Rounds, "ask", lambda self, *a, **k: (asked.append("Exchange" in self.table._jdf.queryExecution().executedPlan().toString()), ask(self, *a, **k))[1])
+        found = g.communities(algorithm)
+        assert len(asked) > len(written) > 0 and not any(asked)
+    monkeypatch.setattr(rounds, "HELD", 0)
+    monkeypatch.setattr(rounds.Rounds, "ask", lambda *_, **__: pytest.fail("more nodes than may be held"))
+    want = {r.indexid: r.label for r in g.communities(algorithm).collect()}
+    assert len(set(want.values())) < len(nodes) / 2
+    assert {r.indexid: r.label for r in found.collect()} == want
+
+
+def test_rounds_with_null_weights_and_ends_that_are_no_nodes(spark):
+    g = graph_of(spark, [1, 2, 3, None], [(1, 2, None), (2, 3, 1.0), (3, 9, 5.0)])
+    assert {r.indexid: r.label for r in g.labels(1).collect()} == {1: 2, 2: 3, 3: 2, None: None}
+
+
 def test_paths_of_any_number_of_hops(spark):
     n = 104
     g = graph_of(spark, range(n + 2), [(i, i + 1, 0.5) for i in range(n)])
