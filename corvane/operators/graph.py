@@ -207,9 +207,13 @@ class Graph:
         greatest gain, and a half of the nodes (another one each time, by hash)
         may move. Local moving ends when no node wants to move, or when the
         modularity hasn't grown for two rounds; the best round counts. A label
-        is the least member's number; nodes without edges stay alone. Only
-        totals reach the driver.
+        is the least member's number; nodes without edges stay alone. Up to
+        ``rounds.HELD`` nodes a round is one pass over the links without a
+        shuffle, and a few numbers of each node go through the driver; beyond
+        it a round is joins, and only totals reach the driver.
         """
+        if (ids := held.numbers(self.both().select("src"))) is not None:
+            return self._held_louvain(ids, resolution)
         edges = stage(self.both().groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "links")
         total = edges.agg(F.sum("weight")).first()[0]
         whole = self.nodes.select("indexid", F.col("indexid").alias("label"))
@@ -226,6 +230,25 @@ class Graph:
             smaller = edges.join(ends.withColumnRenamed("label", "src").withColumnRenamed("to", "a"), "src").join(ends.withColumnRenamed("label", "dst").withColumnRenamed("to", "b"), "dst")
             edges = stage(smaller.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")), "links")
 
+    def _held_louvain(self, ids: np.ndarray, resolution: float) -> DataFrame:
+        total = self.both().agg(F.sum("weight")).first()[0]
+        if not total:
+            return self.nodes.select("indexid", F.col("indexid").alias("label"))
+        links, whole = held.Rounds.of(self.both(), ids), ids
+        while True:
+            label, moved = _held_moved(links, total, resolution)
+            if not moved:
+                break
+            name = np.full(len(label), len(label), np.int32)
+            np.minimum.at(name, label, np.arange(len(label), dtype=np.int32))
+            names = links.ids[name[label]]  # of each node, the least member of its community
+            whole = names[np.searchsorted(links.ids, whole)]
+            smaller = links.map(held.contract, "src long, dst long, weight double", names).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+            before, links = links, held.Rounds.of(smaller, np.unique(names))
+            before.release()
+        links.release()
+        return held.Rounds(ids, links.table).labelled(self.nodes, np.searchsorted(ids, whole).astype(np.int32))
+
     def communities(self, algorithm: str = "louvain", resolution: float = 1.0) -> DataFrame:
         """(indexid, label) by ``louvain``, ``lpa`` (label propagation) or ``components``."""
         return {"louvain": lambda: self.louvain(resolution), "lpa": self.labels, "components": self.components}[algorithm]()
@@ -380,3 +403,27 @@ def _moved(edges: DataFrame, total: float, resolution: float) -> tuple[DataFrame
         may = F.pmod(F.xxhash64("indexid", F.lit(turn // 2)), F.lit(2)) == turn % 2
         now = state.select("indexid", "degree", F.when(may, F.col("wish")).otherwise(F.col("label")).alias("label"))
         turn += 1
+
+
+def _held_moved(links: held.Rounds, total: float, resolution: float) -> tuple[np.ndarray, bool]:
+    """``_moved`` with the numbers of all nodes at hand: the label of each place, and whether any node moved."""
+    n = len(links.ids)
+    found, degree = links.ask(held.degrees, "place int, degree double"), np.zeros(n)
+    degree[found["place"]] = found["degree"]
+    label = np.arange(n, dtype=np.int32)
+    best, most, poor, turn = None, None, 0, 0
+    while True:
+        mass = np.bincount(label, degree, n)
+        may = F.pmod(F.xxhash64("indexid", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        found = links.ask(held.move, "place int, wish int, inside double, may boolean", label, degree, mass, total, resolution, flag=may)
+        wants = found["wish"] != label[found["place"]]
+        quality = found["inside"].sum() / total - resolution * (mass**2).sum() / total**2
+        if most is None or quality > most + 1e-9:
+            best, most, poor = (turn, label), quality, 0
+        else:
+            poor += 1
+        if not wants.any() or poor == 2:
+            return best[1], best[0] > 0
+        go, label = wants & found["may"], label.copy()
+        label[found["place"][go]] = found["wish"][go]
+        turn += 1

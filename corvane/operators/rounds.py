@@ -121,8 +121,39 @@ def _first_best(whose: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def degrees(links: Links, _: np.ndarray) -> dict[str, np.ndarray]:
+    place, whose, _, weight = links
+    return {"place": place, "degree": np.bincount(whose, weight, len(place)).astype(float)}
+
+
 def vote(links: Links, _: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
     """The label of most weight (to nine digits) around each node, then the least one."""
     place, whose, near, weight = links
     who, label, w = _by_label(whose, labels[near], weight)
     return {"place": place, "label": label[_first_best(who, np.round(w, 9), len(place))]}
+
+
+def move(links: Links, may: np.ndarray, labels: np.ndarray, degree: np.ndarray, mass: np.ndarray, total: float, resolution: float) -> dict[str, np.ndarray]:
+    """The community of the greatest gain in modularity around each node, then its own, then the least one; the weight that stays inside its own; and its flag."""
+    place, whose, near, weight = links
+    loop = near == place[whose]
+    who, label, w = _by_label(whose, labels[near], np.where(loop, 0.0, weight))
+    mine, d = labels[place], degree[place]
+    own = label == mine[who]
+    gain = np.round(w - resolution * (mass[label] - np.where(own, d[who], 0.0)) * d[who] / total, 9)
+    stay = np.round(-resolution * (mass[mine] - d) * d / total, 9)  # of nodes without a neighbour in their community
+    stay[who[own]] = gain[own]
+    best = _first_best(who, gain, len(place))
+    wish = np.where(gain[best] > stay, label[best], mine).astype(np.int32)
+    inside = np.bincount(whose[loop], weight[loop], len(place)).astype(float)  # of nothing it is integers
+    inside[who[own]] += w[own]
+    return {"place": place, "wish": wish, "inside": inside, "may": may}
+
+
+def contract(links: Links, _: np.ndarray, names: np.ndarray) -> dict[str, np.ndarray]:
+    """Links between communities (``names`` of each node), summed up as far as these nodes go."""
+    place, whose, near, weight = links
+    communities, at = np.unique(names[place], return_inverse=True)
+    ends, to = np.unique(names[near], return_inverse=True)
+    who, label, w = _by_label(at[whose], to, weight)
+    return {"src": communities[who], "dst": ends[label], "weight": w}

@@ -108,7 +108,7 @@ def test_labels_until_they_settle(spark):
     assert found == want and found[20] == found[21] == 20 and found[30] == 30
 
 
-@pytest.mark.parametrize("algorithm", ["lpa"])
+@pytest.mark.parametrize("algorithm", ["lpa", "louvain"])
 def test_rounds_without_a_shuffle_as_by_joins(spark, monkeypatch, algorithm):
     """Rounds write no table and shuffle nothing; repeated links, loops and lone nodes are as in the joins."""
     rng = random.Random(11)
